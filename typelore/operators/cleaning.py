@@ -79,16 +79,14 @@ def lemmatize(tokens: DataFrame, lemmas: DataFrame) -> DataFrame:
     return joined.select(*columns, F.coalesce("lemma", "token").alias("token")).select(*tokens.columns)
 
 
+def _with_ending_replaced(forms: Column, ending: str, new: str) -> Column:
+    ended = F.filter(forms, lambda w: w.endswith(ending))
+    return F.transform(ended, lambda w: F.concat(F.substring(w, F.lit(1), F.length(w) - len(ending)), F.lit(new)))
+
+
 def _shortened(forms: Column) -> Column:
     """All results of replacing one noun ending, in order, without copies."""
-    results = [
-        F.transform(
-            F.filter(forms, lambda w, e=ending: w.endswith(e)),
-            lambda w, e=ending, r=new: F.concat(F.substring(w, F.lit(1), F.length(w) - len(e)), F.lit(r)),
-        )
-        for ending, new in P.NOUN_ENDINGS
-    ]
-    return F.array_distinct(F.concat(*results))
+    return F.array_distinct(F.concat(*(_with_ending_replaced(forms, end, new) for end, new in P.NOUN_ENDINGS)))
 
 
 def noun_lemmas(forms: DataFrame, lexicon: DataFrame, exceptions: DataFrame | None = None) -> DataFrame:
@@ -108,26 +106,35 @@ def noun_lemmas(forms: DataFrame, lexicon: DataFrame, exceptions: DataFrame | No
     )
     listed = exceptions.groupBy("form").agg(F.array_sort(F.collect_set("base")).alias("bases"))
 
-    # rounds of replacement; round 1 includes the word itself
-    empty = F.array().cast("array<array<string>>")
-    rounds = F.aggregate(
-        F.sequence(F.lit(1), F.length("form")),
-        F.struct(F.array("form").alias("last"), empty.alias("all")),
+    form = F.col("form")
+    first = F.array_compact(
+        F.array(
+            *(
+                F.when(form.endswith(end), F.concat(F.substring(form, F.lit(1), F.length(form) - len(end)), F.lit(new)))
+                for end, new in P.NOUN_ENDINGS
+            )
+        )
+    )
+    further = F.aggregate(
+        F.sequence(F.lit(1), F.length(form)),
+        F.struct(_shortened(first).alias("last"), F.array().cast("array<array<string>>").alias("rounds")),
         lambda acc, _: F.when(F.size(acc["last"]) == 0, acc).otherwise(
             F.struct(
                 _shortened(acc["last"]).alias("last"),
-                F.concat(acc["all"], F.array(_shortened(acc["last"]))).alias("all"),
+                F.concat(acc["rounds"], F.array(acc["last"])).alias("rounds"),
             )
         ),
-        lambda acc: acc["all"],
+        lambda acc: acc["rounds"],
     )
+    # one replacement leaves a further ending only in words such as glasses, moss or yeomens
+    repeats = form.rlike("(ss|ses|mens)$")
+    start = F.array(F.concat(F.array(form), first))
     candidates = distinct.join(listed, "form", "left").select(
         "form",
-        F.when(
-            F.col("bases").isNotNull(), F.array(F.concat(F.array("form"), F.col("bases")))
-        ).otherwise(
-            F.transform(rounds, lambda found, i: F.when(i == 0, F.concat(F.array("form"), found)).otherwise(found))
-        ).alias("rounds"),
+        F.when(F.col("bases").isNotNull(), F.array(F.concat(F.array(form), F.col("bases"))))
+        .when(repeats, F.concat(start, further))
+        .otherwise(start)
+        .alias("rounds"),
     )
     ranked = candidates.select("form", F.posexplode("rounds").alias("round", "found")).select(
         "form", "round", F.posexplode("found").alias("place", "lemma")

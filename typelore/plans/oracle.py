@@ -254,7 +254,7 @@ def _with(views: str, body: str) -> str:
 
 def _steps() -> dict[str, str]:
     return {
-        f"step_{name}": _with("posts", f"SELECT person_id, post_no, {_clean('post', name)} AS text FROM posts")
+        f"step_{name}": _with("posts", f"SELECT person_id, post_no::INT AS post_no, {_clean('post', name)} AS text FROM posts")
         for name in _STEPS
     }
 

@@ -28,8 +28,8 @@ from typelore.streaming import merge as stream
 Query = Callable[[SparkSession, str], DataFrame]
 
 MIN_INNER = 0.25
-MATRIX_TERMS = ("erth", "ndble", "onré", "tionst")
-CORRELATED_TERMS = ("eranth", "thand", "ouan", "lesh")
+MATRIX_TERMS = ("thor", "tion", "thth", "sich")
+CORRELATED_TERMS = ("ther", "thon", "tion", "thre")
 
 
 def _r6(column: str | Column) -> Column:
