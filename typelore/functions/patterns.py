@@ -49,15 +49,18 @@ PUNCTUATION_CHARS = ".!?\\-"
 
 EMOJI_END = rf"(?=[{BLANK_CHAR}]|[!.?]|$)"
 
+# each pattern starts by looking for a character that can begin a match, which settles most positions at once
 EMOJI = {
     # what the counted pattern really matches
     "effective": (
+        r"(?=[:<;=8B])"
         rf"(:[{WORD_CHAR}_]+:"
         r"|<[/\]?3|\[()\\D*$][-^]?[:;=]"
         r"|[:;=B8][-^]?[3DOPp@$*\\)(/|])" + EMOJI_END
     ),
     # what its description promises: hearts and mirrored faces as well
     "documented": (
+        r"(?=[:<()\\|*$;=8B])"
         rf"(:[{WORD_CHAR}_]+:"
         r"|<[/\\]?3"
         r"|[()\\|*$][-^]?[:;=]"

@@ -68,7 +68,8 @@ def clean_text(text: Column, emoji_mode: str = "effective") -> Column:
 
 def _contraction_pattern() -> str:
     halves = "|".join(f"({head})({tail})" for head, tail in P.CONTRACTIONS)
-    return f"(?<![{P.WORD_CHAR}])(?:{halves})(?![{P.WORD_CHAR}])"
+    initials = "".join(sorted({head[0] for head, _ in P.CONTRACTIONS}))
+    return f"(?=[{initials}])(?<![{P.WORD_CHAR}])(?:{halves})(?![{P.WORD_CHAR}])"
 
 
 def split_contractions(text: Column) -> Column:

@@ -15,8 +15,13 @@ TOKEN_COLUMNS = ("person_id", "type", "post_no", "pos", "token")
 
 
 def posts_table(people: DataFrame) -> DataFrame:
-    """One row per post, numbered within the person."""
-    return people.select("person_id", "type", F.posexplode(F.split("posts", r"\|\|\|")).alias("post_no", "post"))
+    """One row per post, numbered within the person.
+
+    The outer form and the filter behind it stand in for the plain one, for which Spark would split every text a
+    second time, to leave out empty arrays in front of it.
+    """
+    split = F.posexplode_outer(F.split("posts", r"\|\|\|")).alias("post_no", "post")
+    return people.select("person_id", "type", split).filter(F.col("post").isNotNull())
 
 
 def clean_posts(posts: DataFrame) -> DataFrame:
@@ -24,19 +29,15 @@ def clean_posts(posts: DataFrame) -> DataFrame:
     return posts.withColumn("cleaned", X.clean_text(F.col("post")))
 
 
-def _words(posts: DataFrame) -> DataFrame:
-    """Posts with their words as an array; same result as cleaning and tokenizing step by step.
+def _words(post: Column) -> Column:
+    """Words of a post as an array; same result as cleaning and tokenizing step by step.
 
-    The text goes through one projection per costly step, so that each is computed once, and a URL is only searched
-    where the text holds ``http``. Removing digits before anything is turned to blanks gives the same words, which
-    lets a single split on runs of other characters stand for the steps from blanks to tokens.
+    Removing digits before anything is turned to blanks gives the same words, which lets a single split on runs of
+    other characters stand for the steps from blanks to tokens.
     """
-    post = F.col("post")
-    plain = F.when(post.contains("http"), X.remove_urls(post)).otherwise(post)
-    staged = posts.withColumn("_plain", plain).withColumn("_plain", X.remove_emojis(F.col("_plain")))
-    lowered = F.lower(F.translate("_plain", P.PUNCTUATION_CHARS, ""))
-    staged = staged.withColumn("_plain", X.split_contractions(F.translate(lowered, "0123456789", "")))
-    return staged.withColumn("words", F.split("_plain", f"[^{P.WORD_CHAR}]+")).drop("_plain", "post")
+    lowered = F.lower(X.remove_punctuation(X.remove_emojis(X.remove_urls(post))))
+    text = X.split_contractions(X.remove_digits(lowered))
+    return F.array_remove(F.split(text, f"[^{P.WORD_CHAR}]+"), "")
 
 
 def token_table(
@@ -52,15 +53,12 @@ def token_table(
 
 
 def tokenize_posts(posts: DataFrame) -> DataFrame:
-    """One row per word, stopwords included; ``pos`` counts the words of a post."""
-    # a text that starts with something else than a word has an empty first part
-    empty_first = (F.element_at("words", 1) == "").cast("int")
-    words = _words(posts).select(
-        "person_id", "type", "post_no", empty_first.alias("_empty"), F.posexplode("words").alias("_at", "token")
-    )
-    return words.filter(F.col("token") != "").select(
-        "person_id", "type", "post_no", (F.col("_at") - F.col("_empty")).alias("pos"), "token"
-    )
+    """One row per word, stopwords included; ``pos`` counts the words of a post.
+
+    The outer form again keeps Spark from cleaning each text twice.
+    """
+    words = F.posexplode_outer(_words(F.col("post"))).alias("pos", "token")
+    return posts.select("person_id", "type", "post_no", words).filter(F.col("token").isNotNull())
 
 
 def remove_stopwords(tokens: DataFrame, stopwords: Sequence[str] = P.STOPWORDS) -> DataFrame:

@@ -77,9 +77,8 @@ def group_content(people: DataFrame, grains: tuple[str, ...] = ("type", "letter"
     Joined by blanks in that order they are the group's text, which is not built: one group may hold a third of
     everything that was written.
     """
-    posts = people.select(
-        "person_id", "type", F.posexplode(F.split("posts", r"\|\|\|")).alias("post_no", "post")
-    )
+    split = F.posexplode_outer(F.split("posts", r"\|\|\|")).alias("post_no", "post")
+    posts = people.select("person_id", "type", split).filter(F.col("post").isNotNull())
     return posts.filter(F.col("type").isNotNull()).select(
         F.explode(groups_of_type("type", grains)).alias("group"), "person_id", "post_no", "post"
     )
