@@ -49,25 +49,37 @@ PUNCTUATION_CHARS = ".!?\\-"
 
 EMOJI_END = rf"(?=[{BLANK_CHAR}]|[!.?]|$)"
 
-# each pattern starts by looking for a character that can begin a match, which settles most positions at once
-EMOJI = {
+# forms of an emoji: the characters it may begin with, and what follows
+EMOJI_FORMS = {
     # what the counted pattern really matches
     "effective": (
-        r"(?=[:<;=8B])"
-        rf"(:[{WORD_CHAR}_]+:"
-        r"|<[/\]?3|\[()\\D*$][-^]?[:;=]"
-        r"|[:;=B8][-^]?[3DOPp@$*\\)(/|])" + EMOJI_END
+        (":", rf"[{WORD_CHAR}_]+:"),
+        ("<", r"[/\]?3|\[()\\D*$][-^]?[:;=]"),
+        (":;=B8", r"[-^]?[3DOPp@$*\\)(/|]"),
     ),
     # what its description promises: hearts and mirrored faces as well
     "documented": (
-        r"(?=[:<()\\|*$;=8B])"
-        rf"(:[{WORD_CHAR}_]+:"
-        r"|<[/\\]?3"
-        r"|[()\\|*$][-^]?[:;=]"
-        r"|[:;=B8][-^]?[3DOPp@$*\\)(/|])" + EMOJI_END
+        (":", rf"[{WORD_CHAR}_]+:"),
+        ("<", r"[/\\]?3"),
+        (r"()\\|*$", r"[-^]?[:;=]"),
+        (":;=B8", r"[-^]?[3DOPp@$*\\)(/|]"),
     ),
 }
 
+# ---- end of fixed values ----------------------------------------------------------------------------------------
+
+
+def _emoji(forms: tuple[tuple[str, str], ...]) -> str:
+    """Any of the forms. The first character is read before the form is chosen, which settles most positions at once."""
+    first = "".join(dict.fromkeys("".join(start for start, _ in forms).replace(r"\\", "\\"))).replace("\\", r"\\")
+    rest = "|".join(f"(?<=[{start}]){follows}" for start, follows in forms)
+    return f"[{first}](?:{rest}){EMOJI_END}"
+
+
+EMOJI = {mode: _emoji(forms) for mode, forms in EMOJI_FORMS.items()}
+
+# ---- Fixed values: tokenizer --------------------------------------------------------------------------------------
+
 # contractions that the word tokenizer splits in two
 CONTRACTIONS = (
     ("can", "not"),

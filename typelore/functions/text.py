@@ -66,23 +66,16 @@ def clean_text(text: Column, emoji_mode: str = "effective") -> Column:
     return F.trim(collapse_blanks(text))
 
 
-def _contraction_pattern() -> str:
-    halves = "|".join(f"({head})({tail})" for head, tail in P.CONTRACTIONS)
-    initials = "".join(sorted({head[0] for head, _ in P.CONTRACTIONS}))
-    return f"(?=[{initials}])(?<![{P.WORD_CHAR}])(?:{halves})(?![{P.WORD_CHAR}])"
+def _word_pattern() -> str:
+    """A run of letters and digits, but only the first half of a contraction: the second is then the next match."""
+    end = f"(?![{P.WORD_CHAR}])"
+    halves = "|".join(f"{head}(?={tail}{end})" for head, tail in P.CONTRACTIONS)
+    return f"(?:{halves}|[{P.WORD_CHAR}]+)"
 
 
-def split_contractions(text: Column) -> Column:
-    """``cannot`` becomes ``can not``; of each pair of groups at most one has matched, the others are empty."""
-    n = len(P.CONTRACTIONS)
-    heads = "".join(f"${2 * i + 1}" for i in range(n))
-    tails = "".join(f"${2 * i + 2}" for i in range(n))
-    return F.regexp_replace(text, _contraction_pattern(), f"{heads} {tails}")
-
-
-def tokenize(cleaned: Column) -> Column:
-    """Words of a text that ``clean_text`` has prepared."""
-    return F.filter(F.split(split_contractions(cleaned), " "), lambda t: t != "")
+def tokenize(text: Column) -> Column:
+    """Words of a cleaned text as array; ``cannot`` and its like are two words."""
+    return F.regexp_extract_all(text, F.lit(_word_pattern()), F.lit(0))
 
 
 def without_stopwords(tokens: Column, stopwords: Sequence[str] = P.STOPWORDS) -> Column:

@@ -32,12 +32,11 @@ def clean_posts(posts: DataFrame) -> DataFrame:
 def _words(post: Column) -> Column:
     """Words of a post as an array; same result as cleaning and tokenizing step by step.
 
-    Removing digits before anything is turned to blanks gives the same words, which lets a single split on runs of
-    other characters stand for the steps from blanks to tokens.
+    The words are picked out of the text directly, so the steps that only turn other characters into single blanks are
+    left out.
     """
     lowered = F.lower(X.remove_punctuation(X.remove_emojis(X.remove_urls(post))))
-    text = X.split_contractions(X.remove_digits(lowered))
-    return F.array_remove(F.split(text, f"[^{P.WORD_CHAR}]+"), "")
+    return X.tokenize(X.remove_digits(lowered))
 
 
 def token_table(

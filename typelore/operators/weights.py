@@ -37,7 +37,8 @@ def tfidf(counts: DataFrame, groups: DataFrame | None = None, salts: int = 1) ->
     """Weights ``tf * idf`` scaled to length 1 per group.
 
     The squared lengths are summed per group in an aggregation of their own: a window over the group would bring all
-    terms of a group into one task. ``salts`` spreads a term found in very many groups, which only matters when the
+    terms of a group into one task. ``counts`` is read several times, so hand in a written table (``cut_lineage``)
+    rather than the work that leads to it. ``salts`` spreads a term found in very many groups, which only matters when the
     groups are persons.
     """
     idf = df_idf(counts, groups).select("term", "idf")

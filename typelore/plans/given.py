@@ -12,8 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from typelore.functions import patterns as P
+from typelore.session import spread
 from typelore.sources.crawl_plan import CRAWL_PLAN
 
+# tables with long texts, and the column that tells their rows apart
+KEYS = {"documents": "doc_id", "conversations": "conv_id"}
+
 
 def _type_code(number: str) -> str:
     pairs = (("I", "E", 1), ("S", "N", 2), ("F", "T", 4), ("J", "P", 8))
@@ -106,7 +110,8 @@ FROM documents
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    read = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(read, KEYS[name]) if name in KEYS else read
 
 
 def _view(spark: SparkSession, statement: str, name: str, source: DataFrame) -> DataFrame:

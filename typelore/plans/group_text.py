@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from typelore.operators import cleaning, groups, people as people_ops, vocabulary, weights
+from typelore.operators import cleaning, groups, vocabulary, weights
+from typelore.operators import people as people_ops
+from typelore.session import cut_lineage
 
 
 def group_summary(people: DataFrame) -> DataFrame:
@@ -13,6 +15,9 @@ def group_summary(people: DataFrame) -> DataFrame:
 
 
 def group_tfidf(people: DataFrame, grains: tuple[str, ...] = ("type", "letter")) -> DataFrame:
-    """Term weights of each type and letter."""
+    """Term weights of each type and letter.
+
+    The counts are read several times, so they are written first; the texts are read and cleaned once.
+    """
     tokens = cleaning.token_table(people)
-    return weights.tfidf(weights.tf(vocabulary.term_counts(tokens, grains)))
+    return weights.tfidf(cut_lineage(weights.tf(vocabulary.term_counts(tokens, grains)), "tf"))

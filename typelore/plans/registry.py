@@ -88,15 +88,23 @@ def _term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.term_counts(_tokens(spark, sf_dir))
 
 
+def _tf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Term counts for steps that read them more than once: written, so that the texts are cleaned once."""
+    return cut_lineage(H.tf(_term_counts(spark, sf_dir)), "tf")
+
+
 def _weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.tfidf(H.tf(_term_counts(spark, sf_dir)))
+    return H.tfidf(_tf(spark, sf_dir))
 
 
 def _written_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weights that several later steps read: written once instead of computed for each."""
     return cut_lineage(_weights(spark, sf_dir), "weights")
 
 
+def _written_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_lineage(_tokens(spark, sf_dir), "tokens")
+
+
 # ---- sources and sinks ------------------------------------------------------------------------------------------------
 
 
@@ -504,8 +512,8 @@ def remove_stopwords(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nouns as far as the texts know them: every word stands in the lexicon."""
-    words = W.vocabulary(_tokens(spark, sf_dir))
+    """Nouns as far as the texts know them: every word of three letters and more stands in the lexicon."""
+    words = cut_lineage(W.vocabulary(_tokens(spark, sf_dir)), "vocabulary")
     return G.noun_lemmas(words, words.filter(F.length("token") > 2).withColumnRenamed("token", "word"))
 
 
@@ -535,7 +543,7 @@ def word_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def occurrence_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.occurrence_histogram(_counts(spark, sf_dir))
+    return W.occurrence_histogram(cut_lineage(_counts(spark, sf_dir), "counts"))
 
 
 def rare_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -547,7 +555,7 @@ def rarity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def remove_rare_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = _tokens(spark, sf_dir)
+    tokens = _written_tokens(spark, sf_dir)
     return W.remove_rare_words(tokens, W.rare_words(W.word_occurrences(tokens))).drop("type")
 
 
@@ -559,7 +567,7 @@ def tf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def df_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.df_idf(H.tf(_term_counts(spark, sf_dir))).withColumn("idf", _r6("idf"))
+    return H.df_idf(_tf(spark, sf_dir)).withColumn("idf", _r6("idf"))
 
 
 def tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -568,7 +576,7 @@ def tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tfidf_per_person(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every person a group of their own: a frequent term then has very many rows."""
-    counts = H.tf(W.term_counts(_tokens(spark, sf_dir), ("person",)))
+    counts = cut_lineage(H.tf(W.term_counts(_tokens(spark, sf_dir), ("person",))), "tf-person")
     return H.tfidf(counts, salts=8).withColumn("tfidf", _r6("tfidf"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(
@@ -54,7 +54,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/typelore/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df, name: str):
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows over all cores where the files are too few for that, as a small table in one file is.
+
+    A large table has many files and is read as it lies, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+
+
+def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so that later steps do not recompute it.
 
     The written table survives the loss of executors.
