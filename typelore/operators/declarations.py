@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -37,38 +38,34 @@ def count_by_type(users: DataFrame) -> DataFrame:
     )
 
 
-def declaration(text: Column, name: str) -> Column:
-    """Type found by one of the declaration patterns.
+def _search(comments: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Comments with one more column per pattern and field.
 
-    A text without any type code, which is the usual case, is told apart by one search shared by all patterns.
+    A text without any type code, which is the usual case, is told apart by one search shared by all patterns. The
+    columns leave through a generator: what is done with them later, a filter above all, then reads their values
+    instead of being merged with the search, which would run it again.
     """
-    pattern, group = next((p, g) for n, p, g in P.DECLARATIONS if n == name)
-    return F.when(text.rlike(P.TYPE), first_match(text, pattern, group))
+    found = []
+    for name, pattern, group in P.DECLARATIONS:
+        for field in ("title", "content"):
+            if name in names:
+                match = F.regexp_extract(field, pattern, group)
+                found.append(F.when(F.col(field).rlike(P.TYPE), match).alias(f"{name}__on__{field}"))
+    searched = comments.select(*comments.columns, F.inline(F.array(F.struct(*found))))
+    added = [c for c in searched.columns if c not in comments.columns]
+    return searched.withColumns({c: F.nullif(F.col(c), F.lit("")) for c in added})
 
 
 def extract_declarations(comments: DataFrame, name: str) -> DataFrame:
     """Matches of one pattern on title and content."""
-    return comments.select(
-        "id",
-        *(declaration(F.col(field), name).alias(f"{name}__on__{field}") for field in ("title", "content")),
-    )
-
-
-def _match_columns() -> list[Column]:
-    return [
-        declaration(F.col(field), name).alias(f"{name}__on__{field}")
-        for name, _, _ in P.DECLARATIONS
-        for field in ("title", "content")
-    ]
+    found = _search(comments.select("id", "title", "content"), [name])
+    return found.drop("title", "content")
 
 
 def extract_all(comments: DataFrame) -> DataFrame:
-    """Twelve columns in one scan: each pattern on the title, then on the content.
-
-    The columns leave through a generator, so that a later filter on them reads their values instead of being moved
-    in front of them and searching all texts a second time.
-    """
-    return comments.select("id", F.inline(F.array(F.struct(*_match_columns()))))
+    """Twelve columns in one scan: each pattern on the title, then on the content."""
+    found = _search(comments.select("id", "title", "content"), [n for n, _, _ in P.DECLARATIONS])
+    return found.select("id", *MATCH_COLUMNS)
 
 
 def match_counts(matches: DataFrame) -> DataFrame:
@@ -89,10 +86,9 @@ def last_match(matches: DataFrame) -> DataFrame:
 
 
 def with_extracted_type(comments: DataFrame) -> DataFrame:
-    """Comments with the last match, without the twelve columns in between."""
-    by_name = {f"{n}__on__{f}": (n, f) for n, _, _ in P.DECLARATIONS for f in ("title", "content")}
-    found = [declaration(F.col(by_name[c][1]), by_name[c][0]) for c in reversed(MATCH_COLUMNS)]
-    return comments.withColumn("extracted_mbti", F.coalesce(*found))
+    """Comments with the last match."""
+    found = _search(comments, [n for n, _, _ in P.DECLARATIONS])
+    return found.select(*comments.columns, F.coalesce(*reversed(MATCH_COLUMNS)).alias("extracted_mbti"))
 
 
 def comments_with_user_type(comments: DataFrame, users: DataFrame) -> DataFrame:
@@ -106,9 +102,7 @@ def comments_with_user_type(comments: DataFrame, users: DataFrame) -> DataFrame:
 
 
 def _declared(comments: DataFrame) -> DataFrame:
-    """The comments with a type. The generator keeps the filter from repeating the search, as in ``extract_all``."""
-    found = comments.select("user_id", F.explode(F.array("extracted_mbti")).alias("extracted_mbti"))
-    return found.filter(F.col("extracted_mbti").isNotNull())
+    return comments.filter(F.col("extracted_mbti").isNotNull())
 
 
 def types_per_user(comments: DataFrame) -> DataFrame:
