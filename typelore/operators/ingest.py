@@ -25,7 +25,7 @@ def hot_top_n(
     largest = max(t.n_hot for t in plan)
     order = [F.col("hot_rank"), F.col("id")]
     ranked = first_n_per_group(planned, ["subreddit"], order, largest, salts=salts, rank_col="_rank")
-    return ranked.filter(F.col("_rank") <= F.col("n_hot")).drop("_rank", "n_hot")
+    return ranked.filter(F.col("_rank") <= F.col("n_hot")).select(*submissions.columns)
 
 
 def select_submissions(submissions: DataFrame, plan: Sequence[CrawlTarget] = CRAWL_PLAN) -> DataFrame:
@@ -37,7 +37,7 @@ def select_submissions(submissions: DataFrame, plan: Sequence[CrawlTarget] = CRA
         .filter(
             F.col("is_self") & (F.col("num_comments") > 0) & (F.col("link_flair_text").isNull() | listed)
         )
-        .drop("flairs")
+        .select(*submissions.columns)
     )
 
 
