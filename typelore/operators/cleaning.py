@@ -96,12 +96,11 @@ def noun_lemmas(forms: DataFrame, lexicon: DataFrame, exceptions: DataFrame | No
     """
     distinct = forms.select(F.col("token").alias("form")).distinct()
     known = lexicon.select(F.col("word").alias("lemma")).distinct()
-    exceptions = (
-        exceptions.select("form", "base")
-        if exceptions is not None
-        else forms.sparkSession.createDataFrame([], "form string, base string")
-    )
-    listed = exceptions.groupBy("form").agg(F.array_sort(F.collect_set("base")).alias("bases"))
+    if exceptions is None:
+        distinct = distinct.withColumn("bases", F.lit(None).cast("array<string>"))
+    else:
+        listed = exceptions.groupBy("form").agg(F.array_sort(F.collect_set("base")).alias("bases"))
+        distinct = distinct.join(listed, "form", "left")
 
     form = F.col("form")
     first = F.array_compact(
@@ -126,7 +125,7 @@ def noun_lemmas(forms: DataFrame, lexicon: DataFrame, exceptions: DataFrame | No
     # one replacement leaves a further ending only in words such as glasses, moss or yeomens
     repeats = form.rlike("(ss|ses|mens)$")
     start = F.array(F.concat(F.array(form), first))
-    candidates = distinct.join(listed, "form", "left").select(
+    candidates = distinct.select(
         "form",
         F.when(F.col("bases").isNotNull(), F.array(F.concat(F.array(form), F.col("bases"))))
         .when(repeats, F.concat(start, further))

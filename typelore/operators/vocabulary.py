@@ -79,7 +79,7 @@ def term_counts(tokens: DataFrame, grains: tuple[str, ...] = ("type", "letter"))
 def stats_and_tokens(stats: DataFrame, counts: DataFrame) -> DataFrame:
     """Statistics of each group beside the occurrences of its words, one row per word.
 
-    ``stats`` has one row per group, at most a few dozen at the grains of types and letters.
+    ``stats`` has one row per group. Handed in as a written table its size is known, and it is broadcast.
     """
     return counts.join(stats, "group").select(*stats.columns, "token", "occurrences")
 

@@ -33,20 +33,34 @@ def df_idf(counts: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     return with_n.select("term", "df", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
+def weigh(counts: DataFrame, idf: DataFrame, salts: int = 1) -> DataFrame:
+    """``tf * idf``. ``salts`` spreads a term found in very many groups, which matters when the groups are persons."""
+    joined = salted_join(counts, idf.select("term", "idf"), ["term"], "inner", salts, ["group"])
+    return joined.select("group", "term", (F.col("tf") * F.col("idf")).alias("weight"))
+
+
+def group_lengths(weights: DataFrame) -> DataFrame:
+    """Euclidean length of each group's weights.
+
+    An aggregation with partial sums: a window over the group would bring all terms of a group into one task.
+    """
+    return weights.groupBy("group").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("length"))
+
+
+def scale(weights: DataFrame, lengths: DataFrame) -> DataFrame:
+    """Weights at length 1 per group."""
+    scaled = (F.col("weight") / F.col("length")).alias("tfidf")
+    return weights.join(lengths, "group").select("group", "term", scaled)
+
+
 def tfidf(counts: DataFrame, groups: DataFrame | None = None, salts: int = 1) -> DataFrame:
     """Weights ``tf * idf`` scaled to length 1 per group.
 
-    The squared lengths are summed per group in an aggregation of their own: a window over the group would bring all
-    terms of a group into one task. ``counts`` is read several times, so hand in a written table (``cut_lineage``)
-    rather than the work that leads to it. ``salts`` spreads a term found in very many groups, which only matters when the
-    groups are persons.
+    ``counts`` is read several times, so hand in a written table rather than the work that leads to it.
+    ``plans.group_text.weighted_terms`` does the same with the parts in between written as well.
     """
-    idf = df_idf(counts, groups).select("term", "idf")
-    weights = salted_join(counts, idf, ["term"], "inner", salts, ["group"]).select(
-        "group", "term", (F.col("tf") * F.col("idf")).alias("weight")
-    )
-    lengths = weights.groupBy("group").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("length"))
-    return weights.join(lengths, "group").select("group", "term", (F.col("weight") / F.col("length")).alias("tfidf"))
+    weights = weigh(counts, df_idf(counts, groups), salts)
+    return scale(weights, group_lengths(weights))
 
 
 def tfidf_matrix(weights: DataFrame, terms: Sequence[str]) -> DataFrame:
@@ -148,8 +162,10 @@ def term_group_correlation_sparse(weights: DataFrame, groups: DataFrame | None =
     )
 
 
-def term_group_correlation(weights: DataFrame, groups: DataFrame | None = None) -> DataFrame:
-    """Correlation of every term with every group, ``term, group, correlation``, largest first.
+def term_group_correlation(
+    weights: DataFrame, groups: DataFrame | None = None, ordered: bool = True
+) -> DataFrame:
+    """Correlation of every term with every group, ``term, group, correlation``, largest first if ``ordered``.
 
     For groups that are types and letters: a term's weights are gathered in a map of at most one entry per group, and
     the list of groups comes in as a scalar, so the grid is filled without a join.
@@ -166,9 +182,8 @@ def term_group_correlation(weights: DataFrame, groups: DataFrame | None = None)
         "term", "sx", "sxx", "by_group", n.alias("n"), F.explode("all_groups").alias("group")
     )
     x = F.coalesce(F.try_element_at("by_group", F.col("group")), F.lit(0.0))
-    return grid.select("term", "group", _with_indicator(x).alias("correlation")).orderBy(
-        F.desc("correlation"), "term", "group"
-    )
+    correlation = grid.select("term", "group", _with_indicator(x).alias("correlation"))
+    return correlation.orderBy(F.desc("correlation"), "term", "group") if ordered else correlation
 
 
 def top_terms(correlation: DataFrame, k: int) -> DataFrame:

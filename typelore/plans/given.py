@@ -15,8 +15,8 @@ from typelore.functions import patterns as P
 from typelore.session import spread
 from typelore.sources.crawl_plan import CRAWL_PLAN
 
-# tables with long texts, and the column that tells their rows apart
-KEYS = {"documents": "doc_id", "conversations": "conv_id"}
+# tables with long texts
+TEXTS = ("documents", "conversations")
 
 
 def _type_code(number: str) -> str:
@@ -111,7 +111,7 @@ FROM documents
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     read = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(read, KEYS[name]) if name in KEYS else read
+    return spread(read) if name in TEXTS else read
 
 
 def _view(spark: SparkSession, statement: str, name: str, source: DataFrame) -> DataFrame:

@@ -14,10 +14,18 @@ def group_summary(people: DataFrame) -> DataFrame:
     return groups.summary(people_ops.person_features(people))
 
 
-def group_tfidf(people: DataFrame, grains: tuple[str, ...] = ("type", "letter")) -> DataFrame:
-    """Term weights of each type and letter.
+def weighted_terms(counts: DataFrame, salts: int = 1) -> DataFrame:
+    """Weights of counted terms, with idf and group lengths written in between.
 
-    The counts are read several times, so they are written first; the texts are read and cleaned once.
+    Nothing is computed twice, and Spark knows the size of both tables when it plans the joins: it broadcasts them if
+    they are small and shuffles if not.
     """
+    idf = cut_lineage(weights.df_idf(counts), "idf")
+    weighted = weights.weigh(counts, idf, salts)
+    return weights.scale(weighted, cut_lineage(weights.group_lengths(weighted), "lengths"))
+
+
+def group_tfidf(people: DataFrame, grains: tuple[str, ...] = ("type", "letter")) -> DataFrame:
+    """Term weights of each type and letter. The texts are read and cleaned once, for the counts, which are written."""
     tokens = cleaning.token_table(people)
-    return weights.tfidf(cut_lineage(weights.tf(vocabulary.term_counts(tokens, grains)), "tf"))
+    return weighted_terms(cut_lineage(weights.tf(vocabulary.term_counts(tokens, grains)), "tf"))

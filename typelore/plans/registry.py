@@ -94,7 +94,7 @@ def _tf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.tfidf(_tf(spark, sf_dir))
+    return group_text.weighted_terms(_tf(spark, sf_dir))
 
 
 def _written_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,7 +174,7 @@ def _stats_and_tokens(grain: str) -> Query:
             joined = W.person_stats_and_tokens(features, tokens)
         else:
             stats = S.group_stats(features) if grain == "type" else S.dichotomy_stats(features)
-            joined = W.stats_and_tokens(stats, W.term_counts(tokens, (grain,)))
+            joined = W.stats_and_tokens(cut_lineage(stats, "stats"), W.term_counts(tokens, (grain,)))
         path = scratch_path(spark, f"stats-and-tokens-{grain}")
         sinks.write_stats_and_tokens(joined, path)
         return spark.read.parquet(path).withColumns({m: _r6(m) for m in S.MEANS})
@@ -577,7 +577,7 @@ def tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tfidf_per_person(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every person a group of their own: a frequent term then has very many rows."""
     counts = cut_lineage(H.tf(W.term_counts(_tokens(spark, sf_dir), ("person",))), "tf-person")
-    return H.tfidf(counts, salts=8).withColumn("tfidf", _r6("tfidf"))
+    return group_text.weighted_terms(counts, salts=8).withColumn("tfidf", _r6("tfidf"))
 
 
 def tfidf_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -606,7 +606,7 @@ def term_group_correlation_sparse(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coefficients are rounded before they are ranked, so that ties fall to the term's name."""
-    grid = H.term_group_correlation(_written_weights(spark, sf_dir))
+    grid = H.term_group_correlation(_written_weights(spark, sf_dir), ordered=False)
     return H.top_terms(grid.withColumn("correlation", F.round("correlation", 5)), 10)
 
 

@@ -54,13 +54,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/typelore/{name}-{uuid.uuid4().hex}"
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
     """Rows over all cores where the files are too few for that, as a small table in one file is.
 
     A large table has many files and is read as it lies, without a shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def cut_lineage(df: DataFrame, name: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from typelore import schemas
@@ -73,10 +74,14 @@ CRAWL_PLAN = (
 )
 
 
+_ARROW = pa.schema([("subreddit", pa.string()), ("n_hot", pa.int32()), ("flairs", pa.list_(pa.string()))])
+
+
 def crawl_plan(spark: SparkSession, plan: Sequence[CrawlTarget] = CRAWL_PLAN) -> DataFrame:
     """The plan as a table: one row per forum, ``flairs`` NULL where no list is given.
 
-    A literal table has an exact size, so joins with it become broadcast joins without a hint.
+    Made from an Arrow table it is a local relation of known size, so joins with it become broadcast joins by Spark's
+    own size check.
     """
-    rows = [(t.subreddit, t.n_hot, None if t.flairs is None else list(t.flairs)) for t in plan]
-    return spark.createDataFrame(rows, schemas.CRAWL_PLAN)
+    rows = [{"subreddit": t.subreddit, "n_hot": t.n_hot, "flairs": t.flairs and list(t.flairs)} for t in plan]
+    return spark.createDataFrame(pa.Table.from_pylist(rows, _ARROW), schemas.CRAWL_PLAN)
