@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from typelore.operators.groups import groups_of_type
+from typelore.functions import patterns as P
+from typelore.operators.groups import type_letter
 
 
 def vocabulary(tokens: DataFrame) -> DataFrame:
@@ -61,19 +62,35 @@ def remove_rare_words(tokens: DataFrame, rare: DataFrame) -> DataFrame:
 
 
 def term_counts(tokens: DataFrame, grains: tuple[str, ...] = ("type", "letter")) -> DataFrame:
-    """Occurrences of each word in each group.
+    """Occurrences of each word in each group, and the number of groups it occurs in.
 
-    Words are counted per type first; only these counts are then added up for the letters.
+    The words are counted per type first. What is left of a word, one row per type, is then gathered in one array with
+    its totals per letter: at most 81 types and 8 letters. The array's size is the number of groups, so later steps do
+    not have to find and join it. For ``("person",)`` the groups are not bounded, and the number is left out.
     """
     if grains == ("person",):
         return tokens.groupBy(F.col("person_id").alias("group"), "token").agg(F.count("*").alias("occurrences"))
     per_type = (
         tokens.filter(F.col("type").isNotNull()).groupBy("type", "token").agg(F.count("*").alias("occurrences"))
     )
-    spread = per_type.select(F.explode(groups_of_type("type", grains)).alias("group"), "token", "occurrences")
-    if grains == ("type",):
-        return spread
-    return spread.groupBy("group", "token").agg(F.sum("occurrences").alias("occurrences"))
+    gathered, parts = [], []
+    if "type" in grains:
+        gathered.append(F.collect_list(F.struct(F.col("type").alias("group"), "occurrences")).alias("types"))
+        parts.append(F.col("types"))
+    if "letter" in grains:
+        letters = []
+        for _, one, zero, at in P.DICHOTOMIES:
+            for name in (one, zero):
+                in_group = type_letter("type", at, one, zero) == name
+                gathered.append(F.sum(F.when(in_group, F.col("occurrences"))).alias(name))
+                total = F.struct(F.lit(name).alias("group"), F.col(name).alias("occurrences"))
+                letters.append(F.when(F.col(name).isNotNull(), total))
+        parts.append(F.array_compact(F.array(*letters)))
+    by_word = per_type.groupBy("token").agg(*gathered).select("token", F.concat(*parts).alias("groups"))
+    # the outer form, as else Spark builds the arrays once more to look for empty ones
+    return by_word.select("token", F.size("groups").alias("n_groups"), F.inline_outer("groups")).select(
+        "group", "token", "occurrences", "n_groups"
+    )
 
 
 def stats_and_tokens(stats: DataFrame, counts: DataFrame) -> DataFrame:

@@ -16,21 +16,39 @@ from typelore.functions.top_n import first_n_per_group
 
 
 def tf(counts: DataFrame) -> DataFrame:
-    """Occurrences of words of two characters and more; takes the counts of ``term_counts``."""
+    """Occurrences of words of two characters and more; takes the counts of ``term_counts``.
+
+    Where these know the number of groups of a word, it is kept as ``df``.
+    """
+    known = [F.col("n_groups").alias("df")] if "n_groups" in counts.columns else []
     return counts.filter(F.length("token") >= 2).select(
-        "group", F.col("token").alias("term"), F.col("occurrences").alias("tf")
+        "group", F.col("token").alias("term"), F.col("occurrences").alias("tf"), *known
     )
 
 
+def _idf(df: Column, n: Column) -> Column:
+    return F.log((n + 1) / (df + 1)) + 1
+
+
+def _number_of_groups(rows: DataFrame) -> Column:
+    return rows.agg(F.count_distinct("group")).scalar()
+
+
 def df_idf(counts: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """Groups per term and smoothed inverse frequency, ``ln((1 + n) / (1 + df)) + 1``.
 
     ``n`` is the number of groups, those without any term included where ``groups`` names them all.
     """
     frequencies = counts.groupBy("term").agg(F.count("*").alias("df"))
-    n = (counts if groups is None else groups).agg(F.count_distinct("group")).scalar()
-    with_n = frequencies.withColumn("n", n)
-    return with_n.select("term", "df", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    with_n = frequencies.withColumn("n", _number_of_groups(counts if groups is None else groups))
+    return with_n.select("term", "df", _idf(F.col("df"), F.col("n")).alias("idf"))
+
+
+def weigh_known(counts: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """``tf * idf`` of counts that bring ``df`` along: no join."""
+    n = _number_of_groups(counts if groups is None else groups)
+    weight = F.col("tf") * _idf(F.col("df"), F.col("n"))
+    return counts.withColumn("n", n).select("group", "term", weight.alias("weight"))
 
 
 def weigh(counts: DataFrame, idf: DataFrame, salts: int = 1) -> DataFrame:
@@ -59,7 +77,8 @@ def tfidf(counts: DataFrame, groups: DataFrame | None = None, salts: int = 1) ->
     ``counts`` is read several times, so hand in a written table rather than the work that leads to it.
     ``plans.group_text.weighted_terms`` does the same with the parts in between written as well.
     """
-    weights = weigh(counts, df_idf(counts, groups), salts)
+    known = "df" in counts.columns
+    weights = weigh_known(counts, groups) if known else weigh(counts, df_idf(counts, groups), salts)
     return scale(weights, group_lengths(weights))
 
 

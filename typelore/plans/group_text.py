@@ -15,13 +15,15 @@ def group_summary(people: DataFrame) -> DataFrame:
 
 
 def weighted_terms(counts: DataFrame, salts: int = 1) -> DataFrame:
-    """Weights of counted terms, with idf and group lengths written in between.
+    """Weights of counted terms, with group lengths, and idf where it has to be joined, written in between.
 
     Nothing is computed twice, and Spark knows the size of both tables when it plans the joins: it broadcasts them if
     they are small and shuffles if not.
     """
-    idf = cut_lineage(weights.df_idf(counts), "idf")
-    weighted = weights.weigh(counts, idf, salts)
+    if "df" in counts.columns:
+        weighted = weights.weigh_known(counts)
+    else:
+        weighted = weights.weigh(counts, cut_lineage(weights.df_idf(counts), "idf"), salts)
     return weights.scale(weighted, cut_lineage(weights.group_lengths(weighted), "lengths"))
 
 

@@ -563,7 +563,7 @@ def remove_rare_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.tf(_term_counts(spark, sf_dir))
+    return H.tf(_term_counts(spark, sf_dir)).select("group", "term", "tf")
 
 
 def df_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
