@@ -13,7 +13,7 @@ def _vectors(spark, n, dim=8, seed=1, id_type="long"):
 
 
 @pytest.mark.parametrize("block_rows, id_type", [(1000, "long"), (10, "long"), (7, "string")])
-@pytest.mark.parametrize("min_value", [None, 2.5])
+@pytest.mark.parametrize("min_value", [float("-inf"), 2.5])
 def test_pairwise_inner(spark, block_rows, id_type, min_value):
     ids, data, df = _vectors(spark, 60, id_type=id_type)
     full = data @ data.T
@@ -21,7 +21,7 @@ def test_pairwise_inner(spark, block_rows, id_type, min_value):
         (ids[i], ids[j]): full[i, j]
         for i in range(60)
         for j in range(i + 1, 60)
-        if min_value is None or full[i, j] >= min_value
+        if full[i, j] >= min_value
     }
     got = {(r["i"], r["j"]): r["value"] for r in V.pairwise_inner(df, min_value, block_rows=block_rows).collect()}
     assert got == pytest.approx(want)
@@ -29,7 +29,7 @@ def test_pairwise_inner(spark, block_rows, id_type, min_value):
 
 def test_pairwise_of_nothing(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
-    assert V.pairwise_inner(df).count() == 0
+    assert V.pairwise_inner(df, 0.0).count() == 0
 
 
 def test_embed_in_batches(spark):

@@ -79,7 +79,7 @@ def _blocks(vectors: DataFrame, id_col: str, n_blocks: int) -> DataFrame:
 
 def pairwise_inner(
     vectors: DataFrame,
-    min_value: float | None = None,
+    min_value: float,
     id_col: str = "vec_id",
     block_rows: int = 1000,
     n_vectors: int | None = None,
@@ -88,8 +88,8 @@ def pairwise_inner(
 
     A matrix product in blocks: the vectors are packed into blocks of about ``block_rows``, a block is sent once to each
     block it has to meet, and a task multiplies two blocks at a time. Only products of at least ``min_value`` leave the
-    task. The work is quadratic in the number of vectors whatever the threshold; without one so is the result, which is
-    the whole matrix above its diagonal.
+    task; minus infinity gives the whole matrix above its diagonal, whose size is quadratic, as is the work whatever the
+    threshold. Choose the threshold so that the result stays in proportion to the vectors.
     """
     n = vectors.count() if n_vectors is None else n_vectors
     n_blocks = max(1, -(-n // block_rows))
@@ -108,7 +108,7 @@ def pairwise_inner(
         blocks = [_matrix(row) for row in pair.sort_values("block").itertuples(index=False)]
         (ids_a, a), (ids_b, b) = blocks[0], blocks[-1]
         values = a @ b.T
-        wanted = np.ones(values.shape, bool) if min_value is None else values >= min_value
+        wanted = values >= min_value
         if len(blocks) == 1:
             wanted &= ids_a[:, None] < ids_b[None, :]
         row, column = np.nonzero(wanted)
