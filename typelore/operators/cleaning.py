@@ -132,8 +132,9 @@ def noun_lemmas(forms: DataFrame, lexicon: DataFrame, exceptions: DataFrame | No
         .otherwise(start)
         .alias("rounds"),
     )
-    ranked = candidates.select("form", F.posexplode("rounds").alias("round", "found")).select(
-        "form", "round", F.posexplode("found").alias("place", "lemma")
+    # the outer forms, as else Spark computes the candidates once more to look for empty arrays
+    ranked = candidates.select("form", F.posexplode_outer("rounds").alias("round", "found")).select(
+        "form", "round", F.posexplode_outer("found").alias("place", "lemma")
     )
     order = F.struct("round", F.length("lemma"), "place")
     return ranked.join(known, "lemma", "left_semi").groupBy("form").agg(F.min_by("lemma", order).alias("lemma"))

@@ -70,6 +70,31 @@ def _rows(level: str) -> Column:
             e["node"]["body"].alias("content"),
             e["node"]["created_utc"].alias("created_utc"),
             e["node"]["score"].alias("upvotes"),
+            F.lit(None).cast("string").alias("unread"),
+        ),
+    )
+
+
+def _unread_rows(level: str) -> Column:
+    """Replies below the deepest level read, as JSON text beside the parent they get; all else is empty."""
+    below = F.filter(
+        F.col(level),
+        lambda e: e["node"]["replies"].isNotNull() & ~F.trim(e["node"]["replies"]).isin("", "[]"),
+    )
+    text, number = F.lit(None).cast("string"), F.lit(None).cast("long")
+    return F.transform(
+        below,
+        lambda e: F.struct(
+            text.alias("id"),
+            text.alias("user_id"),
+            text.alias("user_name"),
+            text.alias("user_flair_text"),
+            _child_parent(e).alias("parent_comment_id"),
+            text.alias("title"),
+            text.alias("content"),
+            number.alias("created_utc"),
+            number.alias("upvotes"),
+            e["node"]["replies"].alias("unread"),
         ),
     )
 
@@ -85,6 +110,7 @@ def _submission_row() -> Column:
         F.col("selftext").alias("content"),
         "created_utc",
         F.col("score").alias("upvotes"),
+        F.lit(None).cast("string").alias("unread"),
     )
 
 
@@ -98,31 +124,14 @@ def _with_levels(forests: DataFrame, levels: int) -> DataFrame:
 
 
 def _flat(forests: DataFrame, levels: int, first: Column | None = None) -> DataFrame:
-    """All rows of a forest through a single explode."""
-    rows = [_rows(f"level_{k}") for k in range(1, levels + 1)]
+    """All rows of a forest, and what is left unread below them, through a single explode."""
+    rows = [_rows(f"level_{k}") for k in range(1, levels + 1)] + [_unread_rows(f"level_{levels}")]
     if first is not None:
         rows.insert(0, F.array(first))
-    return (
-        _with_levels(forests, levels)
-        .select("parent_submission_id", "subreddit", "submission_flair_text", F.explode(F.concat(*rows)).alias("row"))
-        .select("parent_submission_id", "subreddit", "submission_flair_text", "row.*")
-    )
-
-
-def _unread(forests: DataFrame, levels: int) -> DataFrame:
-    """Replies below the deepest level read, as JSON text with the attributes their rows need."""
-    below = F.transform(
-        F.filter(
-            F.col(f"level_{levels}"),
-            lambda e: e["node"]["replies"].isNotNull() & ~F.trim(e["node"]["replies"]).isin("", "[]"),
-        ),
-        lambda e: F.struct(_child_parent(e).alias("parent_id"), e["node"]["replies"].alias("nodes")),
-    )
-    return (
-        _with_levels(forests, levels)
-        .select("parent_submission_id", "subreddit", "submission_flair_text", F.explode(below).alias("below"))
-        .select("parent_submission_id", "subreddit", "submission_flair_text", "below.*")
-    )
+    root = ["parent_submission_id", "subreddit", "submission_flair_text"]
+    # the outer form, as else Spark builds all levels once more to look for empty arrays
+    exploded = _with_levels(forests, levels).select(*root, F.explode_outer(F.concat(*rows)).alias("row"))
+    return exploded.filter(F.col("row").isNotNull()).select(*root, "row.*")
 
 
 def _roots(threads: DataFrame) -> DataFrame:
@@ -138,16 +147,21 @@ def _roots(threads: DataFrame) -> DataFrame:
 def flatten_nested(threads: DataFrame, levels: int = LEVELS_PER_PASS) -> DataFrame:
     """One row per submission and comment, authorless ones included (``user_id`` NULL), parents re-rooted.
 
-    The children of an authorless node get no parent; "more" nodes vanish and their children keep the parent. Threads
-    deeper than ``levels`` are read in further passes over what is left, each cut off by a written table, until
-    nothing is left: the depth has no bound and the number of passes is depth / levels.
+    The children of an authorless node get no parent; "more" nodes vanish and their children keep the parent. A pass
+    reads ``levels`` levels and writes its rows, with the replies below as text, to the shared folder, so that each
+    text is parsed once. Passes go on over the text that is left until there is none: the depth has no bound.
     """
-    forests = _roots(threads)
-    parts = [_flat(forests, levels, first=_submission_row())]
+    flat = cut_lineage(_flat(_roots(threads), levels, first=_submission_row()), "threads")
+    parts = [flat]
     schema = schemas.comment_forest(levels)
-    unread = _unread(forests, levels)
-    while not unread.isEmpty():
-        forests = cut_lineage(unread, "replies").withColumn("nodes", F.from_json("nodes", schema))
-        parts.append(_flat(forests, levels))
-        unread = _unread(forests, levels)
-    return reduce(DataFrame.unionByName, parts).select(*ITEM_COLUMNS)
+    while not (unread := flat.filter(F.col("unread").isNotNull())).isEmpty():
+        forests = unread.select(
+            "parent_submission_id",
+            "subreddit",
+            "submission_flair_text",
+            F.col("parent_comment_id").alias("parent_id"),
+            F.from_json("unread", schema).alias("nodes"),
+        )
+        flat = cut_lineage(_flat(forests, levels), "replies")
+        parts.append(flat)
+    return reduce(DataFrame.unionByName, parts).filter(F.col("unread").isNull()).select(*ITEM_COLUMNS)
