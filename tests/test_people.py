@@ -2,7 +2,6 @@ import random
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 from typelore.functions import patterns as P
 from typelore.operators import groups as S

@@ -20,8 +20,9 @@ def first_n_per_group(
     """First ``n`` rows of each group in ``order``.
 
     Since ``n`` is a constant, each map task keeps only its own first ``n`` rows of a group before the shuffle (window
-    group limit). With ``salts`` above 1 a group is first cut to ``n`` rows in that many parts (rows are spread by the
-    columns ``spread_by``), and the survivors are ranked together: a row beyond rank ``n`` of its part cannot be within rank ``n`` of the group.
+    group limit). With ``salts`` above 1 a group is first cut to ``n`` rows in that many parts, over which the columns
+    ``spread_by`` spread its rows, and the survivors are ranked together: a row beyond rank ``n`` of its part cannot be
+    within rank ``n`` of the group.
     """
     if salts > 1:
         part = F.pmod(F.xxhash64(*spread_by), F.lit(salts))

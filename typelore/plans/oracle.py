@@ -84,7 +84,6 @@ _PLAN = ", ".join(
 _COUNTS = ("urls_count", "punctuations_count", "emojis_count")
 _MEAN_AVGS = ", ".join(f"round(avg({m}), 6) AS {m}" for m in MEANS)
 _TIME = "strftime(make_timestamp(CAST(created_utc AS BIGINT) * 1000000), '%Y-%m-%d %H:%M:%S')"
-_NO_FILE_LINE = ", ".join(c for c in COMMENT_COLUMNS)
 
 _MERGED = ", ".join(
     f"arg_{'min' if c in FIRST_WINS else 'max'}_null({c}, seq) AS {c}" for c in COMMENT_COLUMNS if c != "id"
