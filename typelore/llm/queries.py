@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from typelore.llm import bpe
+from typelore.llm import bpe, minhash, quality_classifier, quality_rules, secret_scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,8 +30,38 @@ def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), how=minhash.Similarity(k=3, percent=85))
+
+
+def rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = quality_rules.ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return entries.select(
+        "doc_id",
+        *[F.col(f"measures.{c}").alias(c) for c in counts],
+        (~quality_rules.passes(quality_rules.POLICIES["base"])).alias("base_failed"),
+        quality_rules.passes(quality_rules.POLICIES["2"]).alias("kept"),
+        "failed",
+    )
+
+
+def secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scanned.select("doc_id", *secret_scan.digest(scanned))
+
+
+def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality_classifier.classify(docs.select("doc_id", "text"), labels).drop("text")
+
+
 QUERIES: dict[str, Query] = {
+    "op1_near_duplicates": near_duplicates,
     "op3_bpe_round_trip": bpe_round_trip,
+    "op4_rule_ledger": rule_ledger,
+    "op6_secret_spans": secret_spans,
+    "op9_quality_scores": quality_scores,
 }
 
 ORACLE: dict[str, str] = {}
