@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from typelore.llm import bpe, minhash, quality_classifier, quality_rules, secret_scan
+from typelore.llm import (
+    bpe,
+    minhash,
+    mixing,
+    multi_index,
+    quality_classifier,
+    quality_rules,
+    secret_scan,
+    substrings,
+    toxicity,
+    url_filter,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,6 +57,10 @@ def rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents")).drop("removed")
+
+
 def secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return scanned.select("doc_id", *secret_scan.digest(scanned))
@@ -56,12 +71,97 @@ def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(docs.select("doc_id", "text"), labels).drop("text")
 
 
+def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.classify(docs.select("doc_id", "text"), labels).drop("text")
+
+
+def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
+#: The tables hold no lists and no fetch times: both follow from the pages, by the same rules here and in the SQL.
+CAPTURED = "date_add(DATE '2024-01-01', CAST(page_id * 37 % 366 AS INT)) AS fetched"
+
+
+def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").selectExpr("page_id", "url", CAPTURED)
+
+
+def list_events(pages: DataFrame) -> DataFrame:
+    """Dated list entries: some hosts come, go and come back; some sections of hosts are listed for good."""
+    host, section = url_filter.host_of(F.col("url")), F.regexp_extract("url", "^[^/]*//[^/]*/([^/?#]+)", 1)
+    hosts = pages.select(host.alias("pattern")).filter("pattern IS NOT NULL").distinct()
+    sections = pages.select(F.concat(host, F.lit("/"), section).alias("pattern")).filter(section != "").distinct()
+
+    def dated(patterns: DataFrame, day: str, action: str, where: str) -> DataFrame:
+        hashed = patterns.withColumn("x", F.conv(F.substring(F.md5("pattern"), 1, 6), 16, 10).cast("long"))
+        return hashed.filter(where).selectExpr(
+            "pattern", f"date_add(DATE '2024-01-01', CAST({day} AS INT)) AS at", f"'{action}' AS action"
+        )
+
+    return (
+        dated(hosts, "x % 200", "add", "x % 3 = 0")
+        .union(dated(hosts, "x % 200 + 60", "remove", "x % 6 = 0"))
+        .union(dated(hosts, "x % 200 + 120", "add", "x % 12 = 0"))
+        .union(dated(sections, "x % 300", "add", "x % 5 = 0"))
+    )
+
+
+def checked_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fetched = captures(spark, sf_dir)
+    return url_filter.check(fetched, url_filter.intervals(list_events(fetched)))
+
+
+CHECKED_URLS = """
+WITH c AS (
+  SELECT page_id, url, CAST(DATE '2024-01-01' + CAST(page_id * 37 % 366 AS INT) AS DATE) AS fetched,
+    nullif(rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '.'), '') AS host,
+    regexp_extract(url, '^[^/]*//[^/]*/([^/?#]+)', 1) AS section
+  FROM pages
+), h AS (
+  SELECT pattern, CAST('0x' || substr(md5(pattern), 1, 6) AS BIGINT) AS x
+  FROM (SELECT DISTINCT host AS pattern FROM c WHERE host IS NOT NULL) d
+), s AS (
+  SELECT pattern, CAST('0x' || substr(md5(pattern), 1, 6) AS BIGINT) AS x
+  FROM (SELECT DISTINCT host || '/' || section AS pattern FROM c WHERE host IS NOT NULL AND section <> '') d
+), e AS (
+  SELECT pattern, x % 200 AS day, TRUE AS added FROM h WHERE x % 3 = 0
+  UNION ALL SELECT pattern, x % 200 + 60, FALSE FROM h WHERE x % 6 = 0
+  UNION ALL SELECT pattern, x % 200 + 120, TRUE FROM h WHERE x % 12 = 0
+  UNION ALL SELECT pattern, x % 300, TRUE FROM s WHERE x % 5 = 0
+), v AS (
+  SELECT pattern, DATE '2024-01-01' + CAST(day AS INT) AS valid_from,
+    DATE '2024-01-01' + CAST(lead(day) OVER (PARTITION BY pattern ORDER BY day) AS INT) AS valid_to, added
+  FROM e
+), m AS (
+  SELECT c.page_id, v.pattern, CAST(v.valid_from AS DATE) AS valid_from,
+    row_number() OVER (PARTITION BY c.page_id ORDER BY length(v.pattern) DESC, v.pattern DESC) AS best
+  FROM c JOIN v ON v.added AND c.fetched >= v.valid_from AND (v.valid_to IS NULL OR c.fetched < v.valid_to)
+    AND (c.host = split_part(v.pattern, '/', 1) OR c.host LIKE '%.' || split_part(v.pattern, '/', 1))
+    AND (v.pattern NOT LIKE '%/%' OR c.section = split_part(v.pattern, '/', 2))
+)
+SELECT c.page_id, c.url, c.fetched, m.pattern IS NOT NULL AS blocked, m.pattern, m.valid_from
+FROM c LEFT JOIN m ON m.page_id = c.page_id AND m.best = 1
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_near_duplicates": near_duplicates,
+    "op2_nearest_vectors": nearest_vectors,
     "op3_bpe_round_trip": bpe_round_trip,
     "op4_rule_ledger": rule_ledger,
+    "op5_repeated_passages": repeated_passages,
     "op6_secret_spans": secret_spans,
+    "op7_checked_urls": checked_urls,
+    "op8_mixed_sources": mixed_sources,
     "op9_quality_scores": quality_scores,
+    "op10_toxicity_scores": toxicity_scores,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op7_checked_urls": CHECKED_URLS,
+}

@@ -73,30 +73,32 @@ def _found(text: Column, pattern: str) -> Column:
     return let(matches, placed)
 
 
+def _span(start: Column, end: Column, rank: int, kind: str) -> Column:
+    return F.struct(start.alias("start"), end.alias("end"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"))
+
+
+def _of_kind(spans: Column, rank: int, kind: str) -> Column:
+    placed = F.transform(spans, lambda x: _span(x["start"], x["end"], rank, kind))
+    return placed.cast(f"array<{_SPAN}>")
+
+
 def _base(text: Column) -> Column:
     """Spans of the three patterns, in order of start and then kind."""
     parts = []
     for rank, (kind, pattern) in enumerate(PATTERNS.items()):
         spans = _found(text, pattern)
         if kind == "assign":
-            values = F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
-            spans = let(
-                spans,
-                lambda s, values=values: F.when(F.size(s) == 0, s).otherwise(
-                    let(values, lambda v: F.filter(s, lambda x, i: F.char_length(F.get(v, i)) >= LEAST_VALUE))
-                ),
-            )
-        parts.append(
-            F.transform(
-                spans,
-                lambda x, rank=rank, kind=kind: F.struct(
-                    x["start"].alias("start"), x["end"].alias("end"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind")
-                ),
-            ).cast(f"array<{_SPAN}>")
-        )
+            spans = let(spans, lambda s: F.when(F.size(s) == 0, s).otherwise(_with_value(text, s)))
+        parts.append(_of_kind(spans, rank, kind))
     return F.array_sort(F.concat(*parts))
 
 
+def _with_value(text: Column, spans: Column) -> Column:
+    """Assignments whose value is long enough; a short one has used up its characters all the same."""
+    values = F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2))
+    return let(values, lambda v: F.filter(spans, lambda x, i: F.char_length(F.get(v, i)) >= LEAST_VALUE))
+
+
 def _symbols(value: Column, encoding: Column) -> Column:
     """Places in the alphabet; characters outside it (padding) are left out."""
     plain = F.when(encoding == "letters", F.lower(value)).otherwise(F.translate(value, "-_", "+/"))
@@ -230,12 +232,7 @@ def scan(df: DataFrame, text: str = "text", false_share: float = FALSE_SHARE) ->
 
     def added(tested: Column) -> Column:
         chosen = F.filter(tested, lambda s: F.floor(s["deviation"] * BUCKETS) <= F.col("_limits")[s["class"]])
-        return F.transform(
-            chosen,
-            lambda s: F.struct(
-                s["start"].alias("start"), s["end"].alias("end"), F.lit(len(PATTERNS)).alias("rank"), F.lit("random").alias("kind")
-            ),
-        ).cast(f"array<{_SPAN}>")
+        return _of_kind(chosen, len(PATTERNS), "random")
 
     extra = F.when(whole.rlike(STRETCH), added(_tested(whole, F.col("base")))).otherwise(F.array().cast(f"array<{_SPAN}>"))
     with_limits = based.withColumn("_limits", limit)
