@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from typelore.llm.quality_classifier import _descend, _sigmoid, drawn, held_out
@@ -23,7 +23,8 @@ from typelore.llm.quality_classifier import _descend, _sigmoid, drawn, held_out
 SAMPLE = 8_000
 #: Lexicon entries that vote, and entries that the classifier sees.
 VOTERS, ENTRIES = 400, 2_000
-LEAST_DOCUMENTS = 3
+#: Nats by which the labels of an entry's documents must speak against chance.
+EVIDENCE = 12.0
 
 #: Lower case for A-Z, and white space for the rest of ASCII that is no letter or digit.
 _PLAIN = bytes(
@@ -50,10 +51,9 @@ class LabelModel:
     prior: float
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
+        """Share of toxic ones among documents with these votes; a voter that does not fire abstains."""
         fired = np.log(self.toxic / self.clean) * self.weight
-        silent = np.log((1 - self.toxic) / (1 - self.clean)) * self.weight
-        z = np.log(self.prior / (1 - self.prior)) + votes @ fired + (1 - votes) @ silent
-        return _sigmoid(z)
+        return _sigmoid(np.log(self.prior / (1 - self.prior)) + votes @ fired)
 
 
 def _dependence(votes: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -76,21 +76,23 @@ def fit_label_model(
     for _ in range(rounds if len(votes) else 0):
         p = model.posterior(votes)
         weight = 1 / _dependence(votes, p)
+        weight[toxic < clean] = 1  # a vote for clean stands alone
         new = [
             np.clip((strength * seen + share @ votes) / (strength + share.sum()), 1e-5, 1 - 1e-5)
             for seen, share in ((toxic, p), (clean, 1 - p))
         ]
-        # the share of toxic documents stays near the labelled one, as voters that fire on both classes would pull it up
-        share = float(np.clip(p.mean(), prior / 2, min(0.5, prior * 2)))
-        model = LabelModel(np.maximum(new[0], new[1] * 1.01), new[1], weight, share)
+        # a voter stays on its side
+        bound = np.where(toxic > clean, np.maximum(new[0], new[1] * 1.01), np.minimum(new[0], new[1] / 1.01))
+        model = LabelModel(np.minimum(bound, 1 - 1e-5), new[1], weight, prior)
     return model
 
 
 def pattern_votes(votes: np.ndarray, kinds: Sequence[str]) -> np.ndarray:
-    """Voters over voters: any word, any beginning, and at least two different entries."""
+    """Voters over voters: several words, several beginnings, and, as the one vote for clean, no entry at all."""
     kind = np.array(list(kinds), dtype="U1")
     words, beginnings = votes[:, kind == "="], votes[:, kind != "="]
-    more = [words.any(axis=1), beginnings.any(axis=1), words.sum(axis=1) >= 2, beginnings.sum(axis=1) >= 3]
+    more = [words.sum(axis=1) >= 2, beginnings.sum(axis=1) >= 3]
+    more.append(~votes.any(axis=1))
     return np.column_stack([votes, *more]).astype(np.float64)
 
 
@@ -124,6 +126,13 @@ def _associated(marked: DataFrame) -> DataFrame:
     return counted.groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
+def _evidence(toxic: Column, clean: Column, share: float) -> Column:
+    """Documents times the divergence of their toxic share from the share among all labelled ones."""
+    both = toxic + clean
+    part = lambda x, p: F.when(x > 0, x * F.log(x / (both * p))).otherwise(0.0)
+    return part(toxic, share) + part(clean, 1 - share)
+
+
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", sample: int = SAMPLE) -> Model:
     """Fits on about ``sample`` labelled documents of each class and as many unlabelled ones outside the held-out third."""
     labelled = labels.filter("toxic IN (0, 1)").filter(~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -139,8 +148,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", sample: int =
     strength = F.log(rate("toxic", 1) / rate("clean", 0)) * F.sqrt("toxic")
     ranked = (
         _associated(source.join(chosen, "doc_id"))
-        .filter(F.col("toxic") >= LEAST_DOCUMENTS)
         .filter(rate("toxic", 1) >= 8 * rate("clean", 0))
+        .filter(_evidence(F.col("toxic"), F.col("clean"), n[1] / (n[0] + n[1])) >= EVIDENCE)
         .orderBy(strength.desc(), "entry")
         .limit(ENTRIES)
     )
@@ -166,9 +175,13 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", sample: int =
     votes = pattern_votes(x[:, :voters], [chr(name[0]) for name in names[:voters]])
     seen = {k: np.array([(r[k] + 0.5) / (n[1 - j] + 1.0) for r in lexicon[:voters]]) for j, k in enumerate(("toxic", "clean"))}
     # for the patterns the labelled rates are not at hand: they start from the voters they stand for
-    some = lambda rates: np.clip([1 - np.prod(1 - rates), 1 - np.prod(1 - rates), *[min(0.5, rates.sum())] * 2], 1e-4, 0.9)
-    toxic, clean = (np.clip(np.concatenate([seen[k], some(seen[k])]), 1e-5, 1 - 1e-5) for k in ("toxic", "clean"))
-    clean = np.minimum(clean, toxic / 1.01)
+    some = lambda rates: float(np.clip(rates.sum() / 2, 1e-4, 0.5))
+    none = lambda rates: float(np.clip(np.prod(1 - rates), 0.1, 0.9))
+    toxic, clean = (
+        np.clip(np.concatenate([seen[k], [some(seen[k])] * 2, [none(seen[k])]]), 1e-5, 1 - 1e-5) for k in ("toxic", "clean")
+    )
+    clean[:-1] = np.minimum(clean[:-1], toxic[:-1] / 1.01)
+    toxic[-1] = min(toxic[-1], clean[-1] / 1.01)
     prior = float(np.clip(sizes[1] / sum(sizes.values()), 0.001, 0.5))
     model = fit_label_model(votes, toxic, clean, prior)
     return _linear(x, model.posterior(votes), names)
