@@ -25,7 +25,8 @@ from typelore.session import cut_lineage
 _RANDOM = np.random.default_rng(987654321)
 _XOR = _RANDOM.integers(0, 2**32, 256, dtype=np.uint32)
 _ODD = _RANDOM.integers(0, 2**31, 256, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-BLOCK = 512
+#: Signatures, and full sets, that are compared with as many others at a time.
+BLOCK, SETS = 512, 256
 
 
 @dataclass(frozen=True)
@@ -169,11 +170,11 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, how: Similarity) -> DataFrame
     return both.mapInArrow(run, "a long, b long")
 
 
-def _unresolved(members: DataFrame, labels: DataFrame, reps: DataFrame, how: Similarity) -> DataFrame:
-    """Pairs that share a bucket, are within reach, and belong to different components so far.
+def _clusters(members: DataFrame, labels: DataFrame, reps: DataFrame, how: Similarity) -> DataFrame:
+    """(node, label): representatives that pairs within reach connect, where such pairs are in no common component yet.
 
-    Buckets are cut into blocks of some hundred members; a task compares two blocks at a time as matrices of signatures
-    and only pairs within reach leave it. Where a bucket is one component, as in a group of copies, nothing is left.
+    Buckets are cut into blocks of some hundred members. A task compares two blocks at a time as matrices of signatures
+    and puts out one row per member and group found, never the pairs.
     """
     labelled = (
         members.join(labels, F.col("id") == F.col("node"), "left")
@@ -185,49 +186,128 @@ def _unresolved(members: DataFrame, labels: DataFrame, reps: DataFrame, how: Sim
         .filter("low < high AND size > 2")
         .select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     )
-    open_ = cut_lineage(
-        labelled.join(cut_lineage(spread, "spread"), "key").join(reps.select("id", "n", "sig"), "id"), "open"
-    )
-    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    open_ = labelled.join(cut_lineage(spread, "spread"), "key").join(reps.select("id", "n", "sig"), "id")
+    dealt = _block_pairs(open_, ["key"], ["hub", "id", "label", "n", "sig"])
+
+    def groups(group: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        ids, label, n, hub = (group.column(c).to_numpy() for c in ("id", "label", "n", "hub"))
+        left, right = _sides(group)
+        sig = _matrix(group.column("sig"), how.slots)
+        apart = np.zeros((len(left), len(right)), np.uint8)
+        for slot in range(how.slots):
+            apart += sig[left, slot][:, None] != sig[right, slot]
+        # pairs with the smallest member of the bucket have been looked at before
+        done = (hub[left] == ids[left])[:, None] | (hub[right] == ids[right])
+        near = (apart <= how.reach) & ~done & _open(label, n, left, right, how)
+        x, y = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+        if len(x):
+            near = near[np.ix_(x, y)]
+            one, two = ids[left[x]], ids[right[y]]
+            low_x, low_y = one.copy(), two.copy()
+            far = np.iinfo(np.int64).max
+            while True:
+                new_x = np.minimum(low_x, np.where(near, low_y, far).min(axis=1))
+                new_y = np.minimum(low_y, np.where(near, new_x[:, None], far).min(axis=0))
+                if (new_x == low_x).all() and (new_y == low_y).all():
+                    break
+                low_x, low_y = new_x, new_y
+            yield _pair_batch(np.concatenate([low_x, low_y]), np.concatenate([one, two]))
+
+    return components(dealt.mapInArrow(_by_group(groups, ("key", "i", "j")), "a long, b long"))
+
+
+def _links_within(clusters: DataFrame, labels: DataFrame, texts: DataFrame, how: Similarity) -> DataFrame:
+    """Links (a, b) between different components within each cluster, from the full sets, as many as it takes to join them.
+
+    Clusters are cut into blocks; a task intersects all sets of two blocks by counting, and only puts out a link where it
+    joins two components that no other link of these blocks has joined.
+    """
+    own = clusters.select("node", F.col("label").alias("cluster"))
+    sizes = own.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+    blocks = cut_lineage(sizes.select("cluster", F.ceil(F.col("size") / SETS).cast("int").alias("blocks")), "blocks")
+    known = labels.select(F.col("node").alias("id"), "label")
+    rows = own.withColumnRenamed("node", "id").join(texts, "id").join(known, "id", "left").join(blocks, "cluster")
+    dealt = _block_pairs(rows.withColumn("label", F.coalesce("label", "id")), ["cluster"], ["id", "label", "t"])
+
+    def links(group: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        ids, label = (group.column(c).to_numpy() for c in ("id", "label"))
+        left, right = _sides(group)
+        sets = shingle_sets(group.column("t").to_pylist(), how.k)
+        n = np.array([len(x) for x in sets])
+        flat = np.concatenate([sets[y] for y in right])
+        begins = np.concatenate([[0], np.cumsum(n[right])[:-1]])
+        wanted = _open(label, n, left, right, how)
+        root = {x: x for x in label.tolist()}
+
+        def top(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        a, b = [], []
+        order = np.argsort(flat, kind="stable")
+        ordered = flat[order]
+        for i, x in enumerate(left):
+            if not wanted[i].any():
+                continue
+            found = np.zeros(len(flat), np.int64)
+            low, high = np.searchsorted(ordered, sets[x], "left"), np.searchsorted(ordered, sets[x], "right")
+            spots = np.repeat(low - np.concatenate([[0], np.cumsum(high - low)[:-1]]), high - low) + np.arange((high - low).sum())
+            found[order[spots]] = 1
+            shared = np.add.reduceat(found, begins)
+            linked = wanted[i] & (100 * shared >= how.percent * (n[x] + n[right] - shared))
+            for y in right[linked].tolist():
+                one, two = top(int(label[x])), top(int(label[y]))
+                if one != two:
+                    root[max(one, two)] = min(one, two)
+                    a.append(ids[x])
+                    b.append(ids[y])
+        yield _pair_batch(np.array(a, np.int64), np.array(b, np.int64))
+
+    return dealt.mapInArrow(_by_group(links, ("cluster", "i", "j")), "a long, b long")
+
+
+def _block_pairs(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Each row once for every block of its group, dealt and sorted by the pair (i, j) of blocks; ``own`` is its block."""
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    placed = open_.withColumn("own", block).withColumn("other", other).select(
-        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "hub", "id", "label", "n", "sig"
+    both = rows.withColumn("own", own).withColumn("other", other).select(
+        *keys, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", *columns
     )
-    dealt = placed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
+    return both.repartition(*keys, "i", "j").sortWithinPartitions(*keys, "i", "j", "id")
 
-    def pairs(group: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        column = lambda name: group.column(name).to_numpy()
-        ids, label, n, hub, own = (column(c) for c in ("id", "label", "n", "hub", "own"))
-        sig = _matrix(group.column("sig"), how.slots)
-        left, right = np.arange(len(ids)), np.arange(len(ids))
-        first, second = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        if first != second:
-            left, right = np.flatnonzero(own == first), np.flatnonzero(own == second)
-        out_a, out_b = [ids[:0]], [ids[:0]]
-        for x in left:
-            y = right[right > x] if first == second else right
-            y = y[(label[y] != label[x]) & (hub[y] != ids[y]) & (hub[x] != ids[x])]
-            y = y[100 * np.minimum(n[y], n[x]) >= how.percent * np.maximum(n[y], n[x])]
-            y = y[(sig[y] != sig[x]).sum(axis=1) <= how.reach] if len(y) else y
-            out_a.append(np.minimum(ids[y], ids[x]))
-            out_b.append(np.maximum(ids[y], ids[x]))
-        return np.concatenate(out_a), np.concatenate(out_b)
+
+def _sides(group: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the first and the second block; both are all rows where a block meets itself."""
+    first, second, own = group.column("i")[0].as_py(), group.column("j")[0].as_py(), group.column("own").to_numpy()
+    return np.flatnonzero(own == first), np.flatnonzero(own == second)
+
+
+def _open(label: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray, how: Similarity) -> np.ndarray:
+    """Pairs of different components whose sizes allow a link."""
+    least, most = np.minimum.outer(n[left], n[right]), np.maximum.outer(n[left], n[right])
+    return (label[left][:, None] != label[right]) & (100 * least >= how.percent * most)
+
+
+def _by_group(work, keys: tuple[str, ...]):
+    """Calls ``work`` with the rows of one group after the other, from batches sorted by the keys."""
 
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in arrow:
+            if not batch.num_rows:
+                continue
             table = batch if held is None else pa.concat_batches([held, batch])
-            names = [table.column(c).to_numpy() for c in ("key", "i", "j")]
-            cuts = np.flatnonzero(np.any([x[1:] != x[:-1] for x in names], axis=0)) + 1 if table.num_rows else []
+            names = [table.column(c).to_numpy() for c in keys]
             start = 0
-            for cut in cuts:
-                yield _pair_batch(*pairs(table.slice(start, cut - start)))
+            for cut in np.flatnonzero(np.any([x[1:] != x[:-1] for x in names], axis=0)) + 1:
+                yield from work(table.slice(start, cut - start))
                 start = int(cut)
             held = table.slice(start)
-        if held is not None and held.num_rows:
-            yield _pair_batch(*pairs(held))
+        if held is not None:
+            yield from work(held)
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return run
 
 
 def _pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -238,14 +318,16 @@ def _pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", how: Similarity | None = None) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) per row: the smallest id linked with it over any number of links.
+    """(doc_id, n_shingles, component_id, kept, text_hash) per row; the component is the smallest id that links reach.
 
     Rows with equal sets become one representative first, so copies cost one row each. In each bucket of the index all
-    members are compared with its smallest one; pairs that are in no common component after that are compared by
-    signature in blocks, so no link between different texts is lost and no group is expanded into all pairs.
+    members are compared with its smallest one. Members that are in no common component after that but within reach of each
+    other form clusters, whose full sets are compared block by block. So no link between different texts is lost, and no
+    group is expanded into rows of pairs.
 
     A null or empty text has no shingles, is its own component and is kept. A row without id has no component and is
-    kept. Rows that repeat an id keep their own set; they belong together if their sets do. Other columns do no harm.
+    kept. Rows that repeat an id keep their own set; they belong together if their sets do. ``text_hash`` is ``xxhash64`` of
+    the text as binary and parts such rows. Other columns do no harm.
     """
     how = how or Similarity()
     rows = cut_lineage(_features(df, doc_id, text, how), "signatures")
@@ -269,7 +351,8 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", h
     texts = cut_lineage(found.select("id", "t"), "texts")
     links = cut_lineage(_confirmed(first, texts, how), "links")
     labels = components(links)
-    more = cut_lineage(_confirmed(_unresolved(members, labels, reps, how), texts, how), "links")
+    clusters = _clusters(members, labels, reps, how)
+    more = cut_lineage(_links_within(clusters, labels, texts, how), "links")
     if not more.isEmpty():
         labels = components(links.union(more))
     # labels are by representative; the component is named after its smallest document
@@ -280,9 +363,10 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", h
     by_set = cut_lineage(named.join(smallest, "label").select("f1", "f2", "n", "component"), "components")
     own = F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id"))
     component = F.when(F.col("id").isNotNull(), own)
-    return rows.select("id", "n", "f1", "f2").join(by_set, ["f1", "f2", "n"], "left").select(
+    return rows.select("id", "n", "f1", "f2", "h").join(by_set, ["f1", "f2", "n"], "left").select(
         F.col("id").alias(doc_id),
         F.col("n").alias("n_shingles"),
         component.alias("component_id"),
         F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"),
+        F.col("h").alias("text_hash"),
     )
