@@ -88,7 +88,7 @@ def test_flatten_nested_cases(spark, tmp_path):
             _thread("Z", "u", []),
         ],
     )
-    flat = T.flatten_nested(T.read_threads(spark, path, levels=2), levels=2)
+    flat = T.flatten_nested(T.read_threads(spark, path))
     found = {(r["parent_submission_id"], r["id"]): (r["user_id"], r["parent_comment_id"]) for r in flat.collect()}
     assert found == {
         ("S", "S"): ("u", None),
@@ -110,24 +110,46 @@ def test_flatten_nested_cases(spark, tmp_path):
     assert {r["parent_comment_id"] for r in authored.collect()} - {None} <= ids
 
 
-@pytest.mark.parametrize("levels", [1, 3, 8])
-def test_depth_has_no_bound(spark, tmp_path, levels):
+def _chain(depth, tail='"replies":[]}'):
+    opened = "".join(f'{{"id":"n{i}","author_id":"u","body":"\\"[x\\\\","replies":[' for i in range(depth - 1))
+    return f'{opened}{{"id":"n{depth - 1}","author_id":"u",{tail}' + "]}" * (depth - 1)
+
+
+@pytest.mark.parametrize("depth", [30, 1000, 3000, 20000])
+def test_depth_has_no_bound(spark, tmp_path, depth):
     path = str(tmp_path / "deep")
-    node = _node("n29")
-    for i in reversed(range(29)):
-        node = _node(f"n{i}", "u", [node])
-    _write(spark, path, [_thread("S", "u", [node])])
-    if levels == 1:
-        levels = 5
-    flat = T.flatten_nested(T.read_threads(spark, path, levels), levels)
+    line = f'{{"id":"S","author_id":"u","comments":[{_chain(depth)}]}}'
+    spark.createDataFrame([(line,)], "value string").write.text(path)
+    flat = T.flatten_nested(T.read_threads(spark, path))
     parents = {r["id"]: r["parent_comment_id"] for r in flat.collect()}
-    assert parents == {"S": None, "n0": "S", **{f"n{i}": f"n{i - 1}" for i in range(1, 30)}}
+    assert parents == {"S": None, "n0": "S", **{f"n{i}": f"n{i - 1}" for i in range(1, depth)}}
+    assert [r["id"] for r in flat.orderBy("seq").limit(3).collect()] == ["S", "n0", "n1"]
+
+
+def test_unparsed_lines_are_counted_not_lost(spark, tmp_path):
+    path = str(tmp_path / "cut")
+    good = json.dumps(_thread("S", "u", [_node("a")]))
+    spark.createDataFrame([(good,), (good[:-20],), ("",), ("[1]",)], "value string").write.text(path)
+    assert [r.id for r in T.read_threads(spark, path, skip_unparsed=True).collect()] == ["S"]
+    assert T.unparsed_threads(spark, path).count() == 2
+    with pytest.raises(Exception, match="(?i)malformed"):
+        T.read_threads(spark, path).collect()
+
+
+def test_first_flair_depth_first(spark, tmp_path):
+    path = str(tmp_path / "branch")
+    first = {**_node("a", "v", [{**_node("b", "w"), "author_flair_text": "INTJ"}]), "author_flair_text": ""}
+    last = {**_node("c", "w"), "author_flair_text": "ENFP"}
+    _write(spark, path, [_thread("S", "u", [first, last])])
+    items = T.flatten_nested(T.read_threads(spark, path)).withColumn("user_name", F.col("user_id"))
+    users, _ = collect(items)
+    assert {r["id"]: r["flair_text"] for r in users.collect()} == {"u": None, "v": "", "w": "INTJ"}
 
 
 def test_collect_merges_into_tables(spark, tmp_path):
     path = str(tmp_path / "threads")
     _write(spark, path, [_thread("S", "u", [_node("a", "v", [_node("b", None)])])])
-    items = T.flatten_nested(T.read_threads(spark, path)).withColumn("seq", F.monotonically_increasing_id())
+    items = T.flatten_nested(T.read_threads(spark, path))
     items = items.withColumn("user_name", F.concat(F.lit("name "), "user_id"))
     users, comments = collect(items)
     assert sorted(r["id"] for r in users.collect()) == ["u", "v"]
@@ -175,6 +197,6 @@ def test_integrity_counts(spark):
 def test_people_csv(spark, tmp_path):
     path = tmp_path / "people.csv"
     path.write_text('type,posts\nINFP,"a ""q"", b|||second\nline|||"\nENTJ,plain\n', encoding="utf-8")
-    got = tables.read_people(spark, str(path)).orderBy("person_id").collect()
+    got = tables.read_people(spark, str(path), multi_line=True).orderBy("person_id").collect()
     assert [(r["type"], r["posts"]) for r in got] == [("INFP", 'a "q", b|||second\nline|||'), ("ENTJ", "plain")]
     assert got[0]["person_id"] != got[1]["person_id"]

@@ -119,6 +119,22 @@ def test_stream_equals_batch_and_survives_replay(spark, rows, tmp_path):
     assert rows(stream.read_merged_users(spark, target)) == expected
 
 
+def test_compaction_keeps_the_table_and_ignores_replays(spark, rows, tmp_path):
+    updates, target = _user_updates(300, 6), str(tmp_path / "out")
+    write = stream._append_merged(target, lambda b: M.merge_user_states(M.user_state(b)))
+    assert stream.compact_users(spark, target) == -1
+    for i in range(5):
+        write(spark.createDataFrame(updates[i * 60 : (i + 1) * 60], USER_SCHEMA), i)
+        if i == 1:
+            assert stream.compact_users(spark, target) == 1
+            write(spark.createDataFrame(updates[60:120], USER_SCHEMA), 1)
+    expected = _upsert_users(updates)
+    assert rows(stream.read_merged_users(spark, target)) == expected
+    assert stream.compact_users(spark, target) == 4 == stream.compact_users(spark, target)
+    assert len(stream._states(spark, target)[0]) == 1
+    assert rows(stream.read_merged_users(spark, target)) == expected
+
+
 def test_comment_stream(spark, rows, tmp_path):
     updates = _comment_updates(200, 5)
     source, target = str(tmp_path / "in"), str(tmp_path / "out")

@@ -11,7 +11,10 @@ from typelore.operators import declarations as C
 from typelore.operators import ingest as B
 from typelore.operators import people as E
 from typelore.operators import vocabulary as W
+from typelore import session
+from typelore.operators import groups as S
 from typelore.plans import type_resolution
+from typelore.plans.registry import QUERIES
 from typelore.sources import tables
 from tests.test_people import _people
 
@@ -78,3 +81,65 @@ def test_top_n_cuts_before_the_shuffle_and_broadcasts_the_plan(spark):
     plan = _plan(B.hot_top_n(df))
     assert plan.count("WindowGroupLimit") >= 4 and "LocalTableScan" in plan and "BroadcastHashJoin" in plan
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+HOT = ("remove_rare_words", "lemmatize", "comments_with_user_type", "label_vectors", "plot_table")
+
+
+@pytest.mark.parametrize("name", HOT)
+def test_hot_keys_can_be_split(spark, name):
+    """Joins with a hot key get both sides straight from a shuffle, or carry a salt."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan()
+        joins = []
+
+        def walk(node):
+            if node.nodeName().startswith("SortMergeJoin"):
+                joins.append(node)
+            for i in range(node.children().size()):
+                walk(node.children().apply(i))
+
+        walk(plan)
+        key = {"remove_rare_words": "token", "lemmatize": "token"}.get(name, "user_id")
+        hot = [j for j in joins if key in j.leftKeys().toString() or "_salt" in j.leftKeys().toString()]
+        assert hot
+        for join in hot:
+            below = [join.children().apply(i) for i in range(2)]
+            while any(n.nodeName().startswith(("Sort", "InputAdapter", "WholeStage")) for n in below):
+                below = [
+                    n.children().apply(0) if n.nodeName().startswith(("Sort", "InputAdapter", "WholeStage")) else n
+                    for n in below
+                ]
+            assert all(n.nodeName() == "Exchange" for n in below) or "_salt" in join.leftKeys().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_letters_need_one_scan(spark, stored):
+    features = E.person_features(spark.read.parquet(str(stored / "people")))
+    out = io.StringIO()
+    with redirect_stdout(out):
+        S.dichotomy_stats(features).explain()
+    assert out.getvalue().count("FileScan") == 1
+
+
+def test_scratch_is_removed_and_needs_a_shared_folder(spark, tmp_path):
+    import os
+
+    with session.scratch(spark) as folder:
+        assert session.cut_lineage(spark.range(3), "x").count() == 3
+        assert os.path.isdir(folder)
+    assert not os.path.exists(folder)
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(RuntimeError, match=r"spark\.checkpoint\.dir"):
+        session.shared_dir(Cluster)

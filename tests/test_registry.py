@@ -6,11 +6,13 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from typelore.plans import oracle as oracle_module
+from typelore.plans import registry
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = ("events", "documents", "embeddings", "conversations")
 
-QUERIES, ORACLE = contract.queries(), contract.oracle_sql()
+QUERIES, ORACLE = registry.QUERIES, oracle_module.ORACLE
 
 
 @pytest.fixture(scope="module")
@@ -32,7 +34,8 @@ def _rows(frame):
 
 def test_only_projections_lack_sql():
     assert set(QUERIES) - set(ORACLE) == {"project_2d", "plot_table"}
-    assert set(ORACLE) <= set(QUERIES)
+    assert set(ORACLE) <= set(QUERIES) <= set(contract.queries())
+    assert ORACLE.items() <= contract.oracle_sql().items()
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from typelore.functions import patterns as P
 from typelore.functions import text as X
 from typelore.operators import cleaning as G
+from typelore.operators import groups as S
 from typelore.operators import vocabulary as W
 from typelore.operators import weights as H
 from tests.test_people import EMOJI, URL, _people
@@ -141,6 +142,33 @@ def test_vocabulary(spark, rows):
     assert bins == np.histogram([4, 4], bins=10)[0].tolist()
 
 
+def _names(spark, kinds):
+    return S.group_names(_people(spark, [""] * len(kinds), kinds))
+
+
+def test_groups_without_terms_count(spark):
+    """One person's only post holds no word: their type is a group all the same."""
+    people = _people(spark, ["aa bb", "bb cc", "..."], ["INFP", "ESTJ", "ENTP"])
+    counts = H.tf(W.term_counts(G.token_table(people)))
+    names = S.group_names(people)
+    assert names.count() == 3 + 8 and counts.select("group").distinct().count() == 2 + 8
+    idf = {r["term"]: r["idf"] for r in H.df_idf(counts, names).collect()}
+    assert idf["aa"] == pytest.approx(np.log(12 / 6) + 1)
+    weighed = H.weigh_known(counts, names).filter("term = 'aa'").first()["weight"]
+    assert weighed == pytest.approx(idf["aa"])
+
+
+def test_counts_by_lemma(spark, rows):
+    people = _people(spark, ["cats cat dog", "cats dogs"], ["INFP", "INFP"])
+    lemmas = spark.createDataFrame([("cats", "cat"), ("dogs", "dog")], "form string, lemma string")
+    raw, lemmatised = G.token_table(people), G.token_table(people, lemmas=lemmas)
+    assert rows(W.word_occurrences(raw, lemmas)) == rows(W.word_occurrences(lemmatised)) == [("cat", 3), ("dog", 2)]
+    for grains in (("type", "letter"), ("type",), ("letter",), ("person",)):
+        assert rows(W.term_counts(raw, grains, lemmas)) == rows(W.term_counts(lemmatised, grains))
+    shown = G.clean_preview(people, "INFP", 9, lemmas=lemmas).first()
+    assert shown["tokens"] == ["cat", "cat"]
+
+
 def _groups(kind):
     return [kind, *kind]
 
@@ -160,7 +188,7 @@ def _expected_tfidf(texts, kinds, groups_of):
 def test_weights(spark):
     texts, kinds, tokens = _tokens(spark)
     names, terms, expected = _expected_tfidf(texts, kinds, [_groups(k) for k in kinds])
-    weights = H.tfidf(H.tf(W.term_counts(tokens)))
+    weights = H.tfidf(H.tf(W.term_counts(tokens)), _names(spark, kinds))
     got = {(r["group"], r["term"]): r["tfidf"] for r in weights.collect()}
     want = {(g, t): expected[i, j] for i, g in enumerate(names) for j, t in enumerate(terms) if expected[i, j] > 0}
     assert got.keys() == want.keys()
@@ -173,17 +201,18 @@ def test_weights(spark):
 def test_person_weights_with_salts(spark):
     texts, kinds, tokens = _tokens(spark)
     counts = H.tf(W.term_counts(tokens, ("person",)))
-    plain = {(r["group"], r["term"]): r["tfidf"] for r in H.tfidf(counts).collect()}
-    salted = {(r["group"], r["term"]): r["tfidf"] for r in H.tfidf(counts, salts=4).collect()}
+    persons = counts.select("group").distinct()
+    plain = {(r["group"], r["term"]): r["tfidf"] for r in H.tfidf(counts, persons).collect()}
+    salted = {(r["group"], r["term"]): r["tfidf"] for r in H.tfidf(counts, persons, salts=4).collect()}
     assert plain == pytest.approx(salted)
-    lengths = H.tfidf(counts).groupBy("group").agg(F.sum(F.col("tfidf") * F.col("tfidf")).alias("s")).collect()
+    lengths = H.tfidf(counts, persons).groupBy("group").agg(F.sum(F.col("tfidf") * F.col("tfidf")).alias("s")).collect()
     assert all(r["s"] == pytest.approx(1.0) for r in lengths)
 
 
 def test_correlations(spark):
     texts, kinds, tokens = _tokens(spark)
     names, terms, matrix = _expected_tfidf(texts, kinds, [_groups(k) for k in kinds])
-    weights = H.tfidf(H.tf(W.term_counts(tokens)))
+    weights = H.tfidf(H.tf(W.term_counts(tokens)), _names(spark, kinds))
     with np.errstate(invalid="ignore", divide="ignore"):
         full = np.corrcoef(np.hstack([matrix, np.eye(len(names))]).T)
     grid = {(r["term"], r["group"]): r["correlation"] for r in H.term_group_correlation(weights).collect()}

@@ -27,6 +27,22 @@ def test_pairwise_inner(spark, block_rows, id_type, min_value):
     assert got == pytest.approx(want)
 
 
+def test_clustered_vectors_meet_in_few_blocks(spark):
+    rng = np.random.default_rng(3)
+    centres = np.eye(8) * 4
+    data = np.vstack([c + rng.normal(scale=0.05, size=(25, 8)) for c in centres]).astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, embedding array<double>")
+    full = data @ data.T
+    want = {(i, j): full[i, j] for i in range(200) for j in range(i + 1, 200) if full[i, j] >= 14}
+    got = {(r["i"], r["j"]): r["value"] for r in V.pairwise_inner(df, 14, block_rows=10).collect()}
+    assert got == pytest.approx(want) and len(want) == 8 * 25 * 24 / 2
+    pivots = data[::5]
+    own = np.linalg.norm(data[:, None] - pivots, axis=2)
+    cells = own.argmin(axis=1)
+    radius = {int(c): float(own[cells == c, c].max()) for c in set(cells)}
+    assert len(V.meeting_cells(pivots, radius, 14)) < 0.2 * len(radius) ** 2
+
+
 def test_pairwise_of_nothing(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert V.pairwise_inner(df, 0.0).count() == 0

@@ -20,7 +20,8 @@ def salted_join(
 
     ``right`` is repeated once per salt, so it should be narrow and unique in ``on``. ``spread_by`` names columns of
     ``left`` that differ between rows of one key. Joins straight from two shuffles do not need this: adaptive
-    execution splits their skewed partitions. It does not do so when a side is aggregated on the join key just before.
+    execution splits their skewed partitions. It does not do so when a side is aggregated on the join key just before;
+    such a side is written first (``session.cut_lineage``) or joined in this way.
     """
     if salts <= 1:
         return left.join(right, list(on), how)

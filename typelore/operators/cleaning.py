@@ -9,21 +9,11 @@ from pyspark.sql import functions as F
 
 from typelore.functions import patterns as P
 from typelore.functions import text as X
-from typelore.operators.groups import groups_of_type
+from typelore.operators.groups import groups_of_type, posts_table
 
 TOKEN_COLUMNS = ("person_id", "type", "post_no", "pos", "token")
 
 
-def posts_table(people: DataFrame) -> DataFrame:
-    """One row per post, numbered within the person.
-
-    The outer form and the filter behind it stand in for the plain one, for which Spark would split every text a
-    second time, to leave out empty arrays in front of it.
-    """
-    split = F.posexplode_outer(F.split("posts", r"\|\|\|")).alias("post_no", "post")
-    return people.select("person_id", "type", split).filter(F.col("post").isNotNull())
-
-
 def clean_posts(posts: DataFrame) -> DataFrame:
     """Posts with their cleaned text."""
     return posts.withColumn("cleaned", X.clean_text(F.col("post")))
@@ -68,8 +58,9 @@ def remove_stopwords(tokens: DataFrame, stopwords: Sequence[str] = P.STOPWORDS)
 def lemmatize(tokens: DataFrame, lemmas: DataFrame) -> DataFrame:
     """Replaces a token by its lemma; ``lemmas`` has one row (``form``, ``lemma``) per form.
 
-    Spark broadcasts the lemmas if they are small. If not, the tokens are shuffled, and partitions skewed by a
-    frequent word are split, as both sides come straight from their shuffles.
+    Spark broadcasts the lemmas if they are small. If not, hand them in as a written table: both sides then come straight
+    from their shuffles, and adaptive execution splits the partition that a frequent word fills. Where only counts are
+    wanted, count first and replace the counted words, as ``word_occurrences`` and ``term_counts`` do.
     """
     columns = [c for c in tokens.columns if c != "token"]
     joined = tokens.join(lemmas.withColumnRenamed("form", "token"), "token", "left")
@@ -140,8 +131,10 @@ def noun_lemmas(forms: DataFrame, lexicon: DataFrame, exceptions: DataFrame | No
     return ranked.join(known, "lemma", "left_semi").groupBy("form").agg(F.min_by("lemma", order).alias("lemma"))
 
 
-def clean_preview(people: DataFrame, group: str, n: int = 174, stopwords: Sequence[str] = P.STOPWORDS) -> DataFrame:
-    """Tokens of the first ``n`` characters of a group's text.
+def clean_preview(
+    people: DataFrame, group: str, n: int = 174, stopwords: Sequence[str] = P.STOPWORDS, lemmas: DataFrame | None = None
+) -> DataFrame:
+    """Tokens, lemmatised if ``lemmas`` are given, of the first ``n`` characters of a group's text.
 
     Every post but the first adds at least the blank before it, so the first ``n`` + 1 posts hold ``n`` characters.
     """
@@ -149,13 +142,18 @@ def clean_preview(people: DataFrame, group: str, n: int = 174, stopwords: Sequen
     first = posts.orderBy("person_id", "post_no").limit(n + 1)
     ordered = F.array_sort(F.collect_list(F.struct("person_id", "post_no", "post")))
     text = F.array_join(F.transform(ordered, lambda p: p["post"]), " ")
-    return first.agg(F.substring(text, 1, n).alias("example")).withColumn(
+    shown = first.agg(F.substring(text, 1, n).alias("example")).withColumn(
         "tokens", X.clean_tokens(F.col("example"), stopwords)
     )
+    if lemmas is None:
+        return shown
+    placed = lemmatize(shown.select("example", F.posexplode_outer("tokens").alias("pos", "token")), lemmas)
+    again = placed.groupBy("example").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("placed"))
+    return again.select("example", F.array_compact(F.transform("placed", lambda p: p["token"])).alias("tokens"))
 
 
 def group_tokens(tokens: DataFrame, grains: tuple[str, ...] = ("type", "letter")) -> DataFrame:
-    """Tokens of each group, as rows: every group holds all words of its people."""
+    """Tokens of each group, as rows: every group holds all words of its people. Lemmatise the tokens before."""
     return tokens.filter(F.col("type").isNotNull()).select(
         F.explode(groups_of_type("type", grains)).alias("group"), "person_id", "post_no", "pos", "token"
     )

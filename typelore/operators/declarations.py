@@ -94,8 +94,8 @@ def with_extracted_type(comments: DataFrame) -> DataFrame:
 def comments_with_user_type(comments: DataFrame, users: DataFrame) -> DataFrame:
     """Inner join of comments with the type of their author; both ids are kept under distinct names.
 
-    An author of very many comments makes a skewed partition on the comment side, which adaptive execution splits:
-    both sides come straight from their shuffles.
+    An author of very many comments makes a skewed partition on the comment side. Adaptive execution splits it if both
+    sides come straight from their shuffles, so hand in merged users as a written table.
     """
     authors = users.select(F.col("id").alias("id_y"), "mbti_type")
     return comments.withColumnRenamed("id", "id_x").join(authors, F.col("user_id") == F.col("id_y"))
@@ -115,14 +115,15 @@ def ambiguous_users(comments: DataFrame) -> DataFrame:
 
 
 def unambiguous_type(comments: DataFrame) -> DataFrame:
-    """Users who declared exactly one type, and that type: their smallest and largest are the same."""
-    return (
-        _declared(comments)
-        .groupBy("user_id")
-        .agg(F.min("extracted_mbti").alias("extracted_mbti"), F.max("extracted_mbti").alias("_largest"))
-        .filter(F.col("extracted_mbti") == F.col("_largest"))
-        .drop("_largest")
+    """Users who declared exactly one type, and that type: their smallest and largest are the same.
+
+    The four letters of a code are compared as one number, which a hash aggregation can hold.
+    """
+    code = F.conv(F.hex("extracted_mbti"), 16, 10).cast("long")
+    found = (
+        _declared(comments).groupBy("user_id").agg(F.min(code).alias("_low"), F.max(code).alias("_high")).filter("_low = _high")
     )
+    return found.select("user_id", F.unhex(F.hex("_low")).cast("string").alias("extracted_mbti"))
 
 
 def attach_comment_type(users: DataFrame, declared: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,8 +49,8 @@ def group_stats(features: DataFrame, by: str = "type") -> DataFrame:
 
 
 def dichotomy_stats(features: DataFrame) -> DataFrame:
-    """Statistics per letter, all four pairs."""
-    return reduce(DataFrame.unionByName, (group_stats(features, flag) for flag, _, _, _ in P.DICHOTOMIES))
+    """Statistics per letter, all four pairs, in one scan."""
+    return _per_group(features, ("letter",))
 
 
 def summary(features: DataFrame) -> DataFrame:
@@ -60,12 +58,34 @@ def summary(features: DataFrame) -> DataFrame:
 
     The people are summed per type first, at most 81 rows; each of these is then added to its type and its letters.
     """
+    return _per_group(features, ("type", "letter"))
+
+
+def _per_group(features: DataFrame, grains: tuple[str, ...]) -> DataFrame:
     per_type = features.filter(F.col("type").isNotNull()).groupBy("type").agg(*_sums())
-    spread = per_type.withColumn("group", F.explode(groups_of_type("type")))
+    spread = per_type.withColumn("group", F.explode(groups_of_type("type", grains)))
     totals = [F.sum(c).alias(c) for c in per_type.columns if c != "type"]
     return _finish(spread.groupBy("group").agg(*totals))
 
 
+def posts_table(people: DataFrame) -> DataFrame:
+    """One row per post, numbered within the person.
+
+    The outer form and the filter behind it stand in for the plain one, for which Spark would split every text a
+    second time, to leave out empty arrays in front of it.
+    """
+    split = F.posexplode_outer(F.split("posts", r"\|\|\|")).alias("post_no", "post")
+    return people.select("person_id", "type", split).filter(F.col("post").isNotNull())
+
+
+def group_names(people: DataFrame, grains: tuple[str, ...] = ("type", "letter")) -> DataFrame:
+    """The groups that people belong to, those without any term included, as ``group``. Reads no text."""
+    if grains == ("person",):
+        return people.select(F.col("person_id").alias("group")).distinct()
+    types = people.select("type").filter(F.col("type").isNotNull()).distinct()
+    return types.select(F.explode(groups_of_type("type", grains)).alias("group")).distinct()
+
+
 def rank_groups(stats: DataFrame, metric: str) -> DataFrame:
     """Groups by rising ``metric``."""
     return stats.select("group", metric).orderBy(metric, "group")
@@ -77,8 +97,6 @@ def group_content(people: DataFrame, grains: tuple[str, ...] = ("type", "letter"
     Joined by blanks in that order they are the group's text, which is not built: one group may hold a third of
     everything that was written.
     """
-    split = F.posexplode_outer(F.split("posts", r"\|\|\|")).alias("post_no", "post")
-    posts = people.select("person_id", "type", split).filter(F.col("post").isNotNull())
-    return posts.filter(F.col("type").isNotNull()).select(
+    return posts_table(people).filter(F.col("type").isNotNull()).select(
         F.explode(groups_of_type("type", grains)).alias("group"), "person_id", "post_no", "post"
     )

@@ -2,56 +2,62 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import PCA, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from typelore.session import cut_lineage
+
 Encoder = Callable[[Sequence[str]], np.ndarray]
 
 
-class HashedBagOfWords:
-    """Default encoder: words hashed to ``dim`` counters, scaled to length 1. No model file, same result everywhere."""
+def hashed_words(
+    df: DataFrame, text: str = "content", dim: int = 64, keep: Sequence[str] = ("id",)
+) -> DataFrame:
+    """Words hashed to ``dim`` counters, scaled to length 1: no model file, the same result everywhere.
 
-    def __init__(self, dim: int = 64) -> None:
-        self.dim = dim
-        self.slots: dict[str, int] = {}
+    Spark splits and hashes the words; their numbers are counted for a whole batch at once.
+    """
+    words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+"), lambda w: w != "")
+    slots = F.transform(words, lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % dim).cast("int"))
+    hashed = df.select(*keep, slots.alias("_slots"))
+    fields = [hashed.schema[c] for c in keep]
+    schema = T.StructType([*fields, T.StructField("embedding", T.ArrayType(T.FloatType()), True)])
 
-    def slot(self, word: str) -> int:
-        found = self.slots.get(word)
-        if found is None:
-            if len(self.slots) > 1_000_000:
-                self.slots.clear()
-            found = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % self.dim
-            self.slots[word] = found
-        return found
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, numbers = batch.num_rows, batch.column(batch.num_columns - 1)
+            row = np.repeat(np.arange(n), numbers.value_lengths().to_numpy())
+            counts = np.bincount(row * dim + numbers.flatten().to_numpy(), minlength=n * dim).reshape(n, dim)
+            lengths = np.linalg.norm(counts, axis=1, keepdims=True)
+            flat = (counts / np.where(lengths > 0, lengths, 1.0)).astype(np.float32).ravel()
+            vectors = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * dim, pa.array(flat))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], vectors], [*keep, "embedding"])
 
-    def __call__(self, texts: Sequence[str]) -> np.ndarray:
-        vectors = np.zeros((len(texts), self.dim))
-        for row, text in enumerate(texts):
-            slots = [self.slot(word) for word in text.split()]
-            vectors[row] = np.bincount(slots, minlength=self.dim) if slots else 0.0
-        lengths = np.linalg.norm(vectors, axis=1, keepdims=True)
-        return vectors / np.where(lengths > 0, lengths, 1.0)
+    return hashed.mapInArrow(count, schema)
 
 
 def embed(
     df: DataFrame,
     text: str = "content",
-    encoder: Callable[[], Encoder] = HashedBagOfWords,
+    encoder: Callable[[], Encoder] | None = None,
     batch_size: int = 100,
     keep: Sequence[str] = ("id",),
 ) -> DataFrame:
     """One float vector per text, with the columns ``keep``.
 
-    ``encoder`` builds the encoder, once per task; it is then called with up to ``batch_size`` texts at a time.
+    ``encoder`` builds the encoder, once per task; it is then called with up to ``batch_size`` texts at a time. Without
+    one the words are hashed (``hashed_words``).
     """
+    if encoder is None:
+        return hashed_words(df, text, keep=keep)
     narrow = df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
     fields = [narrow.schema[c] for c in keep]
     schema = T.StructType([*fields, T.StructField("embedding", T.ArrayType(T.FloatType()), True)])
@@ -68,48 +74,89 @@ def embed(
     return narrow.mapInPandas(encode, schema)
 
 
-def _blocks(vectors: DataFrame, id_col: str, n_blocks: int) -> DataFrame:
-    """Vectors packed into blocks of about equal size, one row each: ids are unique, so their hash spreads evenly."""
-    block = F.pmod(F.xxhash64(id_col), F.lit(n_blocks)).cast("int")
-    packed = vectors.groupBy(block.alias("block")).agg(
-        F.collect_list(F.struct(F.col(id_col).alias("id"), "embedding")).alias("rows")
+def _with_cell(vectors: DataFrame, id_col: str, pivots: np.ndarray) -> DataFrame:
+    """Vectors with the nearest pivot and the distance to it."""
+    schema = T.StructType(
+        [
+            T.StructField("id", vectors.schema[id_col].dataType),
+            T.StructField("embedding", T.ArrayType(T.DoubleType())),
+            T.StructField("cell", T.IntegerType()),
+            T.StructField("distance", T.DoubleType()),
+        ]
     )
-    return packed.select("block", F.col("rows.id").alias("ids"), F.flatten("rows.embedding").alias("flat"))
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                x = np.stack(batch["embedding"]).astype(np.float64)
+                far = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (pivots * pivots).sum(1) - 2 * x @ pivots.T, 0))
+                cell = far.argmin(axis=1)
+                exact = np.linalg.norm(x - pivots[cell], axis=1)
+                yield pd.DataFrame({"id": batch["id"], "embedding": list(x), "cell": cell.astype("int32"), "distance": exact})
+
+    return vectors.select(F.col(id_col).alias("id"), "embedding").mapInPandas(assign, schema)
+
+
+def meeting_cells(pivots: np.ndarray, radius: dict[int, float], min_value: float) -> list[tuple[int, int]]:
+    """Pairs of cells, both ways, that may hold vectors whose product reaches ``min_value``.
+
+    A vector is its pivot plus a rest no longer than the radius, which bounds the product from above.
+    """
+    norm, product = np.linalg.norm(pivots, axis=1), pivots @ pivots.T
+    bound = lambda a, b: product[a, b] + norm[a] * radius[b] + norm[b] * radius[a] + radius[a] * radius[b]
+    # a little above the bound, for what rounding may take away
+    return [(a, b) for a in radius for b in radius if bound(a, b) * (1 + 1e-9) + 1e-9 >= min_value]
 
 
 def pairwise_inner(
-    vectors: DataFrame,
-    min_value: float,
-    id_col: str = "vec_id",
-    block_rows: int = 1000,
-    n_vectors: int | None = None,
+    vectors: DataFrame, min_value: float, id_col: str = "vec_id", block_rows: int = 1000, n_pivots: int = 64
 ) -> DataFrame:
-    """Inner products ``i, j, value`` with i < j, computed in double precision.
+    """Inner products ``i, j, value`` of at least ``min_value`` with i < j, computed in double precision.
 
-    A matrix product in blocks: the vectors are packed into blocks of about ``block_rows``, a block is sent once to each
-    block it has to meet, and a task multiplies two blocks at a time. Only products of at least ``min_value`` leave the
-    task; minus infinity gives the whole matrix above its diagonal, whose size is quadratic, as is the work whatever the
-    threshold. Choose the threshold so that the result stays in proportion to the vectors.
+    Vectors are assigned to the nearest of ``n_pivots`` vectors, at most 1,000, drawn by hashed id. Two cells only meet if
+    the bound on their products reaches the threshold, so clustered vectors are compared within and between few cells.
+    Cells are cut into blocks of about ``block_rows``, and a task multiplies two blocks at a time as matrices. Minus
+    infinity gives the whole matrix above its diagonal, whose size is quadratic; so is the work where vectors have no
+    clusters or the threshold is low, since nothing can be left out then.
     """
-    n = vectors.count() if n_vectors is None else n_vectors
-    n_blocks = max(1, -(-n // block_rows))
-    meeting = _blocks(vectors, id_col, n_blocks).withColumn(
-        "partner", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
-    )
-    sent = meeting.select(
-        F.least("block", "partner").alias("low"), F.greatest("block", "partner").alias("high"), "block", "ids", "flat"
-    )
+    spark = vectors.sparkSession
     id_type = vectors.schema[id_col].dataType
     schema = T.StructType(
         [T.StructField("i", id_type), T.StructField("j", id_type), T.StructField("value", T.DoubleType())]
     )
+    drawn = vectors.select("embedding").orderBy(F.xxhash64(id_col)).limit(min(n_pivots, 1000)).collect()
+    if not drawn:
+        return spark.createDataFrame([], schema)
+    pivots = np.array([r.embedding for r in drawn], dtype=np.float64)
+    placed = cut_lineage(_with_cell(vectors, id_col, pivots), "cells")
+    # a row per pivot
+    cells = placed.groupBy("cell").agg(F.max("distance").alias("radius"), F.count("*").alias("n")).collect()
+    blocks = {r.cell: -(-r.n // block_rows) for r in cells}
+    meeting = meeting_cells(pivots, {r.cell: r.radius for r in cells}, min_value)
+    counted = spark.createDataFrame(list(blocks.items()), "cell int, blocks int")
+    allowed = spark.createDataFrame([(a, b, blocks[b]) for a, b in meeting], "cell int, other int, other_blocks int")
+
+    # ids are unique, so their hash spreads evenly
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    packed = placed.join(F.broadcast(counted), "cell").groupBy("cell", block.alias("block")).agg(
+        F.collect_list(F.struct("id", "embedding")).alias("rows")
+    )
+    own = F.struct(F.col("cell").alias("c"), F.col("block").alias("b"))
+    partner = F.struct(F.col("other").alias("c"), F.col("other_block").alias("b"))
+    sent = (
+        packed.select("cell", "block", F.col("rows.id").alias("ids"), F.flatten("rows.embedding").alias("flat"))
+        .join(F.broadcast(allowed), "cell")
+        .withColumn("other_block", F.explode(F.sequence(F.lit(0), F.col("other_blocks") - 1)))
+        .select(F.least(own, partner).alias("low"), F.greatest(own, partner).alias("high"), "cell", "block", "ids", "flat")
+        .select("low.*", F.col("high.c").alias("high_c"), F.col("high.b").alias("high_b"), "cell", "block", "ids", "flat")
+    )
 
     def multiply(pair: pd.DataFrame) -> pd.DataFrame:
-        blocks = [_matrix(row) for row in pair.sort_values("block").itertuples(index=False)]
-        (ids_a, a), (ids_b, b) = blocks[0], blocks[-1]
+        both = [_matrix(row) for row in pair.sort_values(["cell", "block"]).itertuples(index=False)]
+        (ids_a, a), (ids_b, b) = both[0], both[-1]
         values = a @ b.T
         wanted = values >= min_value
-        if len(blocks) == 1:
+        if len(both) == 1:
             wanted &= ids_a[:, None] < ids_b[None, :]
         row, column = np.nonzero(wanted)
         first, second = ids_a[row], ids_b[column]
@@ -121,7 +168,7 @@ def pairwise_inner(
             }
         )
 
-    return sent.groupBy("low", "high").applyInPandas(multiply, schema)
+    return sent.groupBy("c", "b", "high_c", "high_b").applyInPandas(multiply, schema)
 
 
 def _matrix(block) -> tuple[np.ndarray, np.ndarray]:
@@ -130,7 +177,10 @@ def _matrix(block) -> tuple[np.ndarray, np.ndarray]:
 
 
 def label_vectors(vectors: DataFrame, comments: DataFrame, users: DataFrame) -> DataFrame:
-    """Vectors with the type of the comment's author; rows are matched by comment id, never by position."""
+    """Vectors with the type of the comment's author; rows are matched by comment id, never by position.
+
+    Hand in ``users`` as a written table, so that an author of very many comments can be split.
+    """
     authors = comments.select("id", "user_id").join(
         users.select(F.col("id").alias("user_id"), F.col("mbti_type").alias("label")), "user_id"
     )
@@ -158,7 +208,7 @@ def project_2d(vectors: DataFrame, id_col: str = "id") -> DataFrame:
 
 
 def plot_table(points: DataFrame, comments: DataFrame, users: DataFrame) -> DataFrame:
-    """``x_1, x_2, content, label`` per comment, ``NA`` where the author has no type."""
+    """``x_1, x_2, content, label`` per comment, ``NA`` where the author has no type. ``users`` as in ``label_vectors``."""
     labels = users.select(F.col("id").alias("user_id"), F.col("mbti_type").alias("label"))
     return (
         points.join(comments.select("id", "user_id", "content"), "id")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from typelore.functions import patterns as P
+from typelore.operators.cleaning import lemmatize
 from typelore.operators.groups import type_letter
 
 
@@ -13,12 +14,18 @@ def vocabulary(tokens: DataFrame) -> DataFrame:
     return tokens.select("token").distinct()
 
 
-def word_occurrences(tokens: DataFrame) -> DataFrame:
-    """Occurrences per word over the token rows given.
+def word_occurrences(tokens: DataFrame, lemmas: DataFrame | None = None) -> DataFrame:
+    """Occurrences per word, or per lemma, over the token rows given.
 
-    A word that makes up a large part of all text is counted within each map task first.
+    A word that makes up a large part of all text is counted within each map task first. Lemmas are looked up for the
+    counted words, one row each, and what falls together is added up.
     """
-    return tokens.groupBy("token").agg(F.count("*").alias("occurrences"))
+    counted = tokens.groupBy("token").agg(F.count("*").alias("occurrences"))
+    return counted if lemmas is None else _by_lemma(counted, lemmas, [])
+
+
+def _by_lemma(counted: DataFrame, lemmas: DataFrame, keys: list[str]) -> DataFrame:
+    return lemmatize(counted, lemmas).groupBy(*keys, "token").agg(F.sum("occurrences").alias("occurrences"))
 
 
 def occurrence_histogram(counts: DataFrame, bins: int = 10) -> DataFrame:
@@ -55,24 +62,31 @@ def rarity_summary(counts: DataFrame, min_occurrences: int = 2) -> DataFrame:
 def remove_rare_words(tokens: DataFrame, rare: DataFrame) -> DataFrame:
     """Tokens that are not rare.
 
-    A rare word has few occurrences by definition, so the frequent ones find no partner; a partition that one of them
-    fills is split by adaptive execution.
+    ``rare`` grows with the vocabulary and is not broadcast beyond Spark's limit. Hand it in as a written table: both
+    sides of the join then come straight from their shuffles, and adaptive execution splits the partition that a
+    frequent word fills. Aggregated on the spot it would come without a shuffle of its own, and nothing could be split.
     """
     return tokens.join(rare.select("token"), "token", "left_anti").select(*tokens.columns)
 
 
-def term_counts(tokens: DataFrame, grains: tuple[str, ...] = ("type", "letter")) -> DataFrame:
+def term_counts(
+    tokens: DataFrame, grains: tuple[str, ...] = ("type", "letter"), lemmas: DataFrame | None = None
+) -> DataFrame:
     """Occurrences of each word in each group, and the number of groups it occurs in.
 
     The words are counted per type first. What is left of a word, one row per type, is then gathered in one array with
     its totals per letter: at most 81 types and 8 letters. The array's size is the number of groups, so later steps do
-    not have to find and join it. For ``("person",)`` the groups are not bounded, and the number is left out.
+    not have to find and join it. For ``("person",)`` the groups are not bounded, and the number is left out. With
+    ``lemmas`` the counted words are replaced and added up once more.
     """
     if grains == ("person",):
-        return tokens.groupBy(F.col("person_id").alias("group"), "token").agg(F.count("*").alias("occurrences"))
+        counted = tokens.groupBy(F.col("person_id").alias("group"), "token").agg(F.count("*").alias("occurrences"))
+        return counted if lemmas is None else _by_lemma(counted, lemmas, ["group"])
     per_type = (
         tokens.filter(F.col("type").isNotNull()).groupBy("type", "token").agg(F.count("*").alias("occurrences"))
     )
+    if lemmas is not None:
+        per_type = _by_lemma(per_type, lemmas, ["type"])
     gathered, parts = [], []
     if "type" in grains:
         gathered.append(F.collect_list(F.struct(F.col("type").alias("group"), "occurrences")).alias("types"))
@@ -101,8 +115,8 @@ def stats_and_tokens(stats: DataFrame, counts: DataFrame) -> DataFrame:
     return counts.join(stats, "group").select(*stats.columns, "token", "occurrences")
 
 
-def person_stats_and_tokens(features: DataFrame, tokens: DataFrame) -> DataFrame:
+def person_stats_and_tokens(features: DataFrame, tokens: DataFrame, lemmas: DataFrame | None = None) -> DataFrame:
     """Counts and means of each person beside the occurrences of their words, one row per word."""
-    counts = term_counts(tokens, ("person",)).withColumnRenamed("group", "person_id")
+    counts = term_counts(tokens, ("person",), lemmas).withColumnRenamed("group", "person_id")
     kept = ["person_id", "type", "posts_count", *(c for c in features.columns if c.startswith("mean_"))]
     return counts.join(features.select(*kept), "person_id").select(*kept, "token", "occurrences")

@@ -34,19 +34,19 @@ def _number_of_groups(rows: DataFrame) -> Column:
     return rows.agg(F.count_distinct("group")).scalar()
 
 
-def df_idf(counts: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+def df_idf(counts: DataFrame, groups: DataFrame) -> DataFrame:
     """Groups per term and smoothed inverse frequency, ``ln((1 + n) / (1 + df)) + 1``.
 
-    ``n`` is the number of groups, those without any term included where ``groups`` names them all.
+    ``n`` is the number of groups that ``groups`` names, those without any term included.
     """
     frequencies = counts.groupBy("term").agg(F.count("*").alias("df"))
-    with_n = frequencies.withColumn("n", _number_of_groups(counts if groups is None else groups))
+    with_n = frequencies.withColumn("n", _number_of_groups(groups))
     return with_n.select("term", "df", _idf(F.col("df"), F.col("n")).alias("idf"))
 
 
-def weigh_known(counts: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+def weigh_known(counts: DataFrame, groups: DataFrame) -> DataFrame:
     """``tf * idf`` of counts that bring ``df`` along: no join."""
-    n = _number_of_groups(counts if groups is None else groups)
+    n = _number_of_groups(groups)
     weight = F.col("tf") * _idf(F.col("df"), F.col("n"))
     return counts.withColumn("n", n).select("group", "term", weight.alias("weight"))
 
@@ -71,7 +71,7 @@ def scale(weights: DataFrame, lengths: DataFrame) -> DataFrame:
     return weights.join(lengths, "group").select("group", "term", scaled)
 
 
-def tfidf(counts: DataFrame, groups: DataFrame | None = None, salts: int = 1) -> DataFrame:
+def tfidf(counts: DataFrame, groups: DataFrame, salts: int = 1) -> DataFrame:
     """Weights ``tf * idf`` scaled to length 1 per group.
 
     ``counts`` is read several times, so hand in a written table rather than the work that leads to it.

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from typelore.operators import ingest, merge
+from typelore.sources.crawl_plan import CRAWL_PLAN, CrawlTarget
+from typelore.sources.threads import flatten_nested
 
 
 def collect(items: DataFrame, current_users: DataFrame | None = None, current_comments: DataFrame | None = None,
@@ -20,3 +24,9 @@ def collect(items: DataFrame, current_users: DataFrame | None = None, current_co
         merge.merge_users(current_users, users, keep_state),
         merge.merge_comments(current_comments, authored, keep_state=keep_state),
     )
+
+
+def collect_hot(threads: DataFrame, plan: Sequence[CrawlTarget] = CRAWL_PLAN) -> tuple[DataFrame, DataFrame]:
+    """Users and comments of the hot threads of the planned forums, as they were landed."""
+    hot = ingest.select_submissions(ingest.hot_top_n(threads, plan), plan)
+    return collect(flatten_nested(hot))

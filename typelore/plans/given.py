@@ -12,12 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from typelore.functions import patterns as P
-from typelore.session import spread
 from typelore.sources.crawl_plan import CRAWL_PLAN
 
-# tables with long texts
-TEXTS = ("documents", "conversations")
-
 
 def _type_code(number: str) -> str:
     pairs = (("I", "E", 1), ("S", "N", 2), ("F", "T", 4), ("J", "P", 8))
@@ -86,6 +82,21 @@ SELECT 'e' || CAST(event_id AS STRING) AS id,
 FROM events
 """
 
+# a landed thread per row of conversations, in the same forums
+THREADS = f"""
+SELECT 't' || CAST(conv_id AS STRING) || '_' || CAST(turn AS STRING) AS id,
+  CASE conv_id % 18 {_NAMES} END AS subreddit, conv_id * 16 + turn AS hot_rank, (conv_id + turn) % 10 <> 3 AS is_self,
+  (conv_id + turn) % 4 AS num_comments,
+  CASE (conv_id + turn) % 7 WHEN 0 THEN 'Discussion' WHEN 1 THEN 'Advice' WHEN 2 THEN 'Survey/Poll' ELSE NULL END
+    AS link_flair_text,
+  CASE WHEN (conv_id + turn) % 7 <> 6 THEN 'u' || CAST((conv_id + turn) % 11 AS STRING) ELSE NULL END AS author_id,
+  CASE WHEN (conv_id + turn) % 7 <> 6 THEN 'name_' || CAST((conv_id + turn) % 11 AS STRING) ELSE NULL END AS author_name,
+  CASE WHEN turn = 2 THEN 'INFP' WHEN turn = 4 THEN '' ELSE NULL END AS author_flair_text,
+  'thread t' || CAST(conv_id AS STRING) || '_' || CAST(turn AS STRING) AS title, role AS selftext,
+  1612137600 + conv_id + turn AS created_utc, (conv_id + turn) % 50 AS score, text, conv_id + turn AS number
+FROM conversations
+"""
+
 # items of users' own listings
 HISTORY = """
 SELECT 'e' || CAST(event_id AS STRING) AS id, 'u' || CAST(user_id AS STRING) AS user_id,
@@ -110,8 +121,7 @@ FROM documents
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    read = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(read) if name in TEXTS else read
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _view(spark: SparkSession, statement: str, name: str, source: DataFrame) -> DataFrame:
@@ -159,16 +169,21 @@ def people(spark: SparkSession, sf_dir: str) -> DataFrame:
 def thread_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landed threads as JSON text: each conversation row is a submission, its lines a chain of replies.
 
-    Every fifth line is a "more" node; submissions and lines without author occur.
+    Every fifth line is a "more" node; submissions and lines without author occur, and the flair of an author changes
+    along the chain.
     """
-    rows = table(spark, sf_dir, "conversations").withColumn("key", F.concat(F.lit("t"), "conv_id", F.lit("_"), "turn"))
+    rows = _view(spark, THREADS, "conversations", table(spark, sf_dir, "conversations"))
 
     def opened(line, k):
-        number = F.col("conv_id") + F.col("turn") + k
+        number = F.col("number") + k
+        authored = (k % 5 != 3) & (number % 6 != 5)
+        named = (number % 11).cast("string")
         node = F.struct(
-            F.concat("key", F.lit("_"), k.cast("string")).alias("id"),
+            F.concat("id", F.lit("_"), k.cast("string")).alias("id"),
             F.when(k % 5 == 3, "more").otherwise("comment").alias("kind"),
-            F.when((k % 5 != 3) & (number % 6 != 5), F.concat(F.lit("u"), (number % 11).cast("string"))).alias("author_id"),
+            F.when(authored, F.concat(F.lit("u"), named)).alias("author_id"),
+            F.when(authored, F.concat(F.lit("name_"), named)).alias("author_name"),
+            F.when(k % 3 == 1, "ENTJ").when(k % 3 == 2, "ISTP").alias("author_flair_text"),
             line.alias("body"),
             (F.lit(1612137600) + number).alias("created_utc"),
             (number % 50).alias("score"),
@@ -176,16 +191,7 @@ def thread_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.concat(F.regexp_replace(F.to_json(node), r"\}$", ""), F.lit(',"replies":['))
 
     lines = F.split("text", "\n")
-    number = F.col("conv_id") + F.col("turn")
-    submission = F.struct(
-        F.col("key").alias("id"),
-        F.concat(F.lit("sub"), (F.col("conv_id") % 18).cast("string")).alias("subreddit"),
-        F.when(number % 7 != 6, F.concat(F.lit("u"), (number % 11).cast("string"))).alias("author_id"),
-        F.concat(F.lit("thread "), "key").alias("title"),
-        F.col("role").alias("selftext"),
-        (F.lit(1612137600) + number).alias("created_utc"),
-        (number % 50).alias("score"),
-    )
+    submission = F.struct(*(c for c in rows.columns if c not in ("text", "number")))
     return rows.select(
         F.concat(
             F.regexp_replace(F.to_json(submission), r"\}$", ""),

@@ -162,17 +162,25 @@ _VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
             FROM (SELECT *, {_words('cleaned')} AS words FROM (SELECT *, {_clean('post')} AS cleaned FROM posts))""",
     ),
     "tokens": (("all_words",), f"SELECT * FROM all_words WHERE token NOT IN ({_STOPWORDS})"),
-    "counts": (("tokens",), "SELECT token, count(*) AS occurrences FROM tokens GROUP BY token"),
-    "group_words": (("tokens",), f"SELECT unnest({_GROUPS}) AS \"group\", person_id, post_no, pos, token FROM tokens"),
+    "raw_words": (("tokens",), "SELECT DISTINCT token FROM tokens"),
+    "lemma_tokens": (
+        ("tokens", "lemmas"),
+        "SELECT t.* REPLACE (coalesce(lemma, token) AS token) FROM tokens t LEFT JOIN lemmas ON form = token",
+    ),
+    "counts": (("lemma_tokens",), "SELECT token, count(*) AS occurrences FROM lemma_tokens GROUP BY token"),
+    "group_words": (
+        ("lemma_tokens",), f"SELECT unnest({_GROUPS}) AS \"group\", person_id, post_no, pos, token FROM lemma_tokens"
+    ),
+    "all_groups": (("people",), f"SELECT DISTINCT unnest({_GROUPS}) AS \"group\" FROM people"),
     "tf": (
         ("group_words",),
         """SELECT "group", token AS term, count(*) AS tf FROM group_words WHERE length(token) >= 2
            GROUP BY "group", token""",
     ),
     "idf": (
-        ("tf",),
+        ("tf", "all_groups"),
         """SELECT term, count(*) AS df, ln((1 + n) / (1 + count(*))) + 1 AS idf
-           FROM tf, (SELECT count(DISTINCT "group") AS n FROM tf) GROUP BY term, n""",
+           FROM tf, (SELECT count(*) AS n FROM all_groups) GROUP BY term, n""",
     ),
     "weights": (
         ("tf", "idf"),
@@ -180,19 +188,19 @@ _VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
            FROM (SELECT "group", term, tf * idf AS w FROM tf JOIN idf USING (term))""",
     ),
     "person_tf": (
-        ("tokens",),
-        """SELECT person_id AS "group", token AS term, count(*) AS tf FROM tokens WHERE length(token) >= 2
+        ("lemma_tokens",),
+        """SELECT person_id AS "group", token AS term, count(*) AS tf FROM lemma_tokens WHERE length(token) >= 2
            GROUP BY person_id, token""",
     ),
     "sums": (
-        ("weights",),
+        ("weights", "all_groups"),
         """SELECT term, sum(tfidf) AS sx, sum(tfidf * tfidf) AS sxx,
-             (SELECT count(DISTINCT "group") FROM weights)::DOUBLE AS n FROM weights GROUP BY term""",
+             (SELECT count(*) FROM all_groups)::DOUBLE AS n FROM weights GROUP BY term""",
     ),
     "grid": (
         ("weights", "sums"),
         """SELECT s.term, g."group", coalesce(w.tfidf, 0) AS x, sx, sxx, n
-           FROM sums s CROSS JOIN (SELECT DISTINCT "group" FROM weights) g
+           FROM sums s CROSS JOIN all_groups g
            LEFT JOIN weights w ON w.term = s.term AND w."group" = g."group\"""",
     ),
     "correlated": (
@@ -200,18 +208,45 @@ _VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         """SELECT term, "group", round((n * x - sx) / sqrt((n * sxx - sx * sx) * (n - 1)), 5) AS correlation
            FROM grid""",
     ),
+    "landed": ((), given.THREADS),
     "lines": (
-        (),
-        """SELECT *, 't' || conv_id || '_' || turn AS key, conv_id + turn + k AS number,
-             CASE WHEN (conv_id + turn) % 7 <> 6 THEN 't' || conv_id || '_' || turn END AS root
+        ("landed",),
+        """SELECT *, number + k AS num, CASE WHEN author_id IS NOT NULL THEN id END AS root
            FROM (SELECT *, unnest(range(len(parts))) AS k, unnest(parts) AS line
-                 FROM (SELECT *, string_split(text, chr(10)) AS parts FROM conversations))""",
+                 FROM (SELECT *, string_split(text, chr(10)) AS parts FROM landed))""",
     ),
     "nodes": (
         ("lines",),
-        """SELECT *, k % 5 = 3 AS more, k % 5 <> 3 AND number % 6 <> 5 AS authored,
+        """SELECT *, k % 5 = 3 AS more, k % 5 <> 3 AND num % 6 <> 5 AS authored,
              CASE WHEN (k - 1) % 5 = 3 THEN k - 2 ELSE k - 1 END AS above FROM lines""",
     ),
+    "flat": (
+        ("landed", "nodes"),
+        """SELECT id, author_id AS user_id, author_name AS user_name, author_flair_text AS user_flair_text,
+             id AS parent_submission_id, NULL::VARCHAR AS parent_comment_id, title, selftext AS content, created_utc,
+             score AS upvotes, subreddit, link_flair_text AS submission_flair_text, hot_rank AS rank, 0 AS place
+           FROM landed
+           UNION ALL
+           SELECT n.id || '_' || n.k, CASE WHEN n.authored THEN 'u' || n.num % 11 END,
+             CASE WHEN n.authored THEN 'name_' || n.num % 11 END,
+             CASE n.k % 3 WHEN 1 THEN 'ENTJ' WHEN 2 THEN 'ISTP' END, n.id,
+             CASE WHEN n.above < 0 THEN n.root WHEN p.authored THEN p.id || '_' || p.k END, NULL, n.line,
+             1612137600 + n.num, n.num % 50, n.subreddit, n.link_flair_text, n.hot_rank,
+             row_number() OVER (PARTITION BY n.id ORDER BY n.k) AS place
+           FROM (SELECT * FROM nodes WHERE NOT more) n LEFT JOIN nodes p ON p.id = n.id AND p.k = n.above""",
+    ),
+    "hot_landed": (
+        ("landed", "plan"),
+        """SELECT l.id FROM landed l JOIN plan p USING (subreddit) WHERE is_self AND num_comments > 0
+             AND (link_flair_text IS NULL OR (flairs IS NOT NULL AND list_contains(flairs, link_flair_text)))
+             AND l.id IN (SELECT id FROM landed JOIN plan USING (subreddit)
+               QUALIFY row_number() OVER (PARTITION BY subreddit ORDER BY hot_rank, id) <= n_hot)""",
+    ),
+    "collected": (
+        ("flat", "hot_landed"),
+        """SELECT *, lpad(rank::VARCHAR, 12, '0') || parent_submission_id || lpad(place::VARCHAR, 9, '0') AS seq FROM flat
+           WHERE user_id IS NOT NULL AND parent_submission_id IN (SELECT id FROM hot_landed)""",
+    ),
     "comment_words": (
         ("comments",),
         f"SELECT id, unnest(string_split({_clean('content')}, ' ')) AS word FROM comments",
@@ -222,10 +257,10 @@ _VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
            FROM comment_words WHERE word <> '' GROUP BY ALL""",
     ),
     "candidates": (
-        ("counts",),
-        "SELECT token AS form, token AS lemma, 0 AS place FROM counts"
+        ("raw_words",),
+        "SELECT token AS form, token AS lemma, 0 AS place FROM raw_words"
         + "".join(
-            f" UNION ALL SELECT token, substr(token, 1, length(token) - {len(end)}) || '{new}', {i + 1} FROM counts"
+            f" UNION ALL SELECT token, substr(token, 1, length(token) - {len(end)}) || '{new}', {i + 1} FROM raw_words"
             f" WHERE suffix(token, '{end}')"
             for i, (end, new) in enumerate(P.NOUN_ENDINGS)
         ),
@@ -233,7 +268,7 @@ _VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "lemmas": (
         ("candidates",),
         """SELECT form, arg_min(lemma, length(lemma) * 100 + place) AS lemma FROM candidates
-           WHERE lemma IN (SELECT token FROM counts WHERE length(token) > 2) GROUP BY form""",
+           WHERE lemma IN (SELECT token FROM raw_words WHERE length(token) > 2) GROUP BY form""",
     ),
 }
 
@@ -309,10 +344,10 @@ def _profile() -> str:
 def _stats_tokens(grain: str) -> str:
     if grain == "person":
         return _with(
-            "features tokens",
+            "features lemma_tokens",
             f"""SELECT f.person_id, f.type, posts_count, {', '.join(f'round({m}, 6) AS {m}' for m in MEANS)}, token,
                   count(*) AS occurrences
-                FROM tokens t JOIN features f USING (person_id) GROUP BY ALL""",
+                FROM lemma_tokens t JOIN features f USING (person_id) GROUP BY ALL""",
         )
     where = "length(s.\"group\") = 4" if grain == "type" else "length(s.\"group\") = 1"
     return _with(
@@ -341,25 +376,34 @@ ORACLE: dict[str, str] = {
     "user_names": _with("users", "SELECT name FROM users"),
     "read_people": _with("people", "SELECT * FROM people"),
     "read_threads": _with(
-        "lines",
-        """SELECT key AS id, 'sub' || conv_id % 18 AS subreddit,
-             CASE WHEN root IS NOT NULL THEN 'u' || (conv_id + turn) % 11 END AS author_id, 'thread ' || key AS title,
-             role AS selftext, 1612137600 + conv_id + turn AS created_utc, (conv_id + turn) % 50 AS score,
-             1 AS top_comments
-           FROM lines WHERE k = 0""",
-    ),
-    "flatten_nested": _with(
-        "lines nodes",
-        """SELECT key AS id, CASE WHEN root IS NOT NULL THEN 'u' || (conv_id + turn) % 11 END AS user_id,
-             key AS parent_submission_id, NULL::VARCHAR AS parent_comment_id, 'thread ' || key AS title,
-             role AS content, 1612137600 + conv_id + turn AS created_utc, (conv_id + turn) % 50 AS upvotes,
-             'sub' || conv_id % 18 AS subreddit
-           FROM lines WHERE k = 0
-           UNION ALL
-           SELECT n.key || '_' || n.k, CASE WHEN n.authored THEN 'u' || n.number % 11 END, n.key,
-             CASE WHEN n.above < 0 THEN n.root WHEN p.authored THEN p.key || '_' || p.k END, NULL, n.line,
-             1612137600 + n.number, n.number % 50, 'sub' || n.conv_id % 18
-           FROM nodes n LEFT JOIN nodes p ON p.key = n.key AND p.k = n.above WHERE NOT n.more""",
+        "landed",
+        """SELECT id, subreddit, hot_rank, is_self, num_comments, link_flair_text, author_id, title, selftext, created_utc,
+             score FROM landed""",
+    ),
+    "flatten_nested": _with("flat", "SELECT * FROM flat"),
+    "collect_users": _with(
+        "collected",
+        """SELECT user_id AS id, arg_min(user_name, seq) AS name,
+             coalesce(arg_min(user_flair_text, seq) FILTER (user_flair_text <> ''),
+                      arg_max_null(user_flair_text, seq)) AS flair_text
+           FROM collected GROUP BY user_id""",
+    ),
+    "collect_comments": _with(
+        "collected",
+        f"""SELECT id, user_id, parent_submission_id, parent_comment_id, title, content, {_TIME} AS created_datetime, upvotes,
+              subreddit, submission_flair_text FROM collected""",
+    ),
+    "collect_history": _with(
+        "deliveries history",
+        """SELECT id, arg_min(user_id, arrived) AS user_id, arg_min_null(parent_submission_id, arrived) AS parent_submission_id,
+             arg_max_null(parent_comment_id, arrived) AS parent_comment_id, arg_max_null(title, arrived) AS title
+           FROM (SELECT id, user_id, parent_submission_id, parent_comment_id, title, seq AS arrived FROM deliveries
+             UNION ALL
+             SELECT 'c' || substr(id, 2) || '_0', user_id, CASE kind WHEN 'submission' THEN id ELSE parent_submission_id END,
+               NULL, CASE kind WHEN 'submission' THEN title END, 2000000000000 + hot_rank
+             FROM (SELECT * FROM history
+               QUALIFY row_number() OVER (PARTITION BY user_id, kind ORDER BY hot_rank, id) <= 3))
+           GROUP BY id""",
     ),
     "write_user_types": _with("resolved", "SELECT id, name, mbti_type FROM resolved"),
     "write_group_stats": _with("group_rows", _STAT_ROWS),
@@ -513,19 +557,18 @@ ORACLE: dict[str, str] = {
     "remove_stopwords": _with(
         "tokens", "SELECT person_id, post_no::INT AS post_no, pos::INT AS pos, token FROM tokens"
     ),
-    "noun_lemmas": _with("counts lemmas", "SELECT * FROM lemmas"),
+    "noun_lemmas": _with("lemmas", "SELECT * FROM lemmas"),
     "lemmatize": _with(
-        "tokens counts lemmas",
-        """SELECT person_id, post_no::INT AS post_no, pos::INT AS pos, coalesce(lemma, token) AS token
-           FROM tokens LEFT JOIN lemmas ON form = token""",
+        "lemma_tokens", "SELECT person_id, post_no::INT AS post_no, pos::INT AS pos, token FROM lemma_tokens"
+
     ),
     "clean_preview": _with(
-        "posts",
-        f"""SELECT example, array_to_string(list_filter({_words('cleaned')}, lambda w: w NOT IN ({_STOPWORDS})), ' ')
-              AS tokens
-            FROM (SELECT example, {_clean('example')} AS cleaned FROM (
+        "posts lemmas",
+        f"""SELECT any_value(example) AS example, string_agg(coalesce(lemma, token), ' ' ORDER BY pos) AS tokens
+            FROM (SELECT example, unnest(words) AS token, unnest(range(len(words))) AS pos FROM (
+              SELECT example, list_filter({_words('cleaned')}, lambda w: w NOT IN ({_STOPWORDS})) AS words FROM (SELECT example, {_clean('example')} AS cleaned FROM (
               SELECT substr(string_agg(post, ' ' ORDER BY person_id, post_no), 1, 174) AS example
-              FROM posts WHERE type = 'INFP'))""",
+              FROM posts WHERE type = 'INFP')))) LEFT JOIN lemmas ON form = token""",
     ),
     "clean_groups": _with(
         "group_words", "SELECT \"group\", person_id, post_no::INT AS post_no, pos::INT AS pos, token FROM group_words"
@@ -546,18 +589,18 @@ ORACLE: dict[str, str] = {
              round_even(100.0 * count(*) FILTER (occurrences < 2) / count(*), 0)::BIGINT AS percent FROM counts""",
     ),
     "remove_rare_words": _with(
-        "tokens counts",
-        """SELECT person_id, post_no::INT AS post_no, pos::INT AS pos, token FROM tokens
+        "lemma_tokens counts",
+        """SELECT person_id, post_no::INT AS post_no, pos::INT AS pos, token FROM lemma_tokens
            WHERE token IN (SELECT token FROM counts WHERE occurrences >= 2)""",
     ),
     "tf": _with("tf", "SELECT * FROM tf"),
     "df_idf": _with("idf", "SELECT term, df, round(idf, 6) AS idf FROM idf"),
     "tfidf": _with("weights", "SELECT \"group\", term, round(tfidf, 6) AS tfidf FROM weights"),
     "tfidf_per_person": _with(
-        "person_tf",
+        "person_tf people",
         """SELECT "group", term, round(w / sqrt(sum(w * w) OVER (PARTITION BY "group")), 6) AS tfidf
            FROM (SELECT "group", term, tf * (ln((1 + n) / (1 + count(*) OVER (PARTITION BY term))) + 1) AS w
-                 FROM person_tf, (SELECT count(DISTINCT "group") AS n FROM person_tf))""",
+                 FROM person_tf, (SELECT count(DISTINCT person_id) AS n FROM people))""",
     ),
     "tfidf_matrix": _with(
         "weights",

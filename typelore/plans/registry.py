@@ -18,7 +18,7 @@ from typelore.operators import people as E
 from typelore.operators import vectors as V
 from typelore.operators import vocabulary as W
 from typelore.operators import weights as H
-from typelore.plans import given, group_text, type_resolution
+from typelore.plans import collection, given, group_text, type_resolution
 from typelore.session import cut_lineage, scratch_path
 from typelore.sources import crawl_plan as plan_source
 from typelore.sources import sinks, tables
@@ -52,6 +52,15 @@ def _users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.merge_users(None, given.user_updates(spark, sf_dir))
 
 
+def _written_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merged users for joins with comments: written, so that such a join can be split where one user wrote very many."""
+    return cut_lineage(_users(spark, sf_dir), "users")
+
+
+def _written_typed_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_lineage(_typed_users(spark, sf_dir), "typed-users")
+
+
 def _typed_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return type_resolution.users_with_type(_comments(spark, sf_dir), _users(spark, sf_dir))
 
@@ -77,15 +86,31 @@ def _posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words as they stand in the texts."""
     return G.token_table(given.people(spark, sf_dir))
 
 
+def _lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nouns as far as the texts know them: every word of three letters and more stands in the lexicon. Written."""
+    words = cut_lineage(W.vocabulary(_tokens(spark, sf_dir)), "vocabulary")
+    lemmas = G.noun_lemmas(words, words.filter(F.length("token") > 2).withColumnRenamed("token", "word"))
+    return cut_lineage(lemmas, "lemmas")
+
+
+def _lemma_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.lemmatize(_tokens(spark, sf_dir), _lemmas(spark, sf_dir))
+
+
 def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.word_occurrences(_tokens(spark, sf_dir))
+    return W.word_occurrences(_tokens(spark, sf_dir), _lemmas(spark, sf_dir))
+
+
+def _term_counts(spark: SparkSession, sf_dir: str, grains: tuple[str, ...] = ("type", "letter")) -> DataFrame:
+    return W.term_counts(_tokens(spark, sf_dir), grains, _lemmas(spark, sf_dir))
 
 
-def _term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.term_counts(_tokens(spark, sf_dir))
+def _groups(spark: SparkSession, sf_dir: str, grains: tuple[str, ...] = ("type", "letter")) -> DataFrame:
+    return S.group_names(given.people(spark, sf_dir), grains)
 
 
 def _tf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,17 +119,13 @@ def _tf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return group_text.weighted_terms(_tf(spark, sf_dir))
+    return group_text.weighted_terms(_tf(spark, sf_dir), _groups(spark, sf_dir))
 
 
 def _written_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_lineage(_weights(spark, sf_dir), "weights")
 
 
-def _written_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cut_lineage(_tokens(spark, sf_dir), "tokens")
-
-
 # ---- sources and sinks ------------------------------------------------------------------------------------------------
 
 
@@ -138,13 +159,36 @@ def _read_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def read_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    submission = ["id", "subreddit", "author_id", "title", "selftext", "created_utc", "score"]
-    return _read_threads(spark, sf_dir).select(*submission, F.size("comments").alias("top_comments"))
+    submission = ["id", "subreddit", "hot_rank", "is_self", "num_comments", "link_flair_text", "author_id", "title",
+                  "selftext", "created_utc", "score"]
+    return _read_threads(spark, sf_dir).select(*submission)
 
 
 def flatten_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = threads_source.flatten_nested(_read_threads(spark, sf_dir))
-    return flat.drop("user_name", "user_flair_text", "submission_flair_text")
+    return flat.select(*(c for c in flat.columns if c != "seq"), "seq.rank", F.col("seq.at").alias("place"))
+
+
+def collect_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collection.collect_hot(_read_threads(spark, sf_dir))[0]
+
+
+def collect_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _text_time(collection.collect_hot(_read_threads(spark, sf_dir))[1])
+
+
+def collect_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' own listings, some of whose items have been delivered before, on top of the deliveries."""
+    listed = given.history(spark, sf_dir).withColumns(
+        {
+            "content": F.col("title"), "created_utc": F.col("hot_rank"), "upvotes": F.col("hot_rank"), "subreddit": F.lit("own"),
+            "submission_flair_text": F.lit(None).cast("string"), "seq": F.lit(2_000_000_000_000) + F.col("hot_rank"),
+        }
+    )
+    current = M.merge_comments(None, given.comment_updates(spark, sf_dir), keep_state=True)
+    renamed = B.user_history(listed, 3).withColumn("id", F.concat(F.lit("c"), F.substring("id", 2, 99), F.lit("_0")))
+    merged = M.merge_comments(current, B.with_created_datetime(renamed))
+    return merged.select("id", "user_id", "parent_submission_id", "parent_comment_id", "title")
 
 
 def write_user_types(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,12 +213,12 @@ def write_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stats_and_tokens(grain: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        features, tokens = _features(spark, sf_dir), _tokens(spark, sf_dir)
+        features, tokens, lemmas = (f(spark, sf_dir) for f in (_features, _tokens, _lemmas))
         if grain == "person":
-            joined = W.person_stats_and_tokens(features, tokens)
+            joined = W.person_stats_and_tokens(features, tokens, lemmas)
         else:
             stats = S.group_stats(features) if grain == "type" else S.dichotomy_stats(features)
-            joined = W.stats_and_tokens(cut_lineage(stats, "stats"), W.term_counts(tokens, (grain,)))
+            joined = W.stats_and_tokens(cut_lineage(stats, "stats"), W.term_counts(tokens, (grain,), lemmas))
         path = scratch_path(spark, f"stats-and-tokens-{grain}")
         sinks.write_stats_and_tokens(joined, path)
         return spark.read.parquet(path).withColumns({m: _r6(m) for m in S.MEANS})
@@ -305,7 +349,7 @@ def last_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def comments_with_user_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    typed = C.type_from_flair(_users(spark, sf_dir))
+    typed = C.type_from_flair(_written_users(spark, sf_dir))
     return C.comments_with_user_type(_extracted(spark, sf_dir), typed).select(
         "id_x", "user_id", "extracted_mbti", "id_y", "mbti_type"
     )
@@ -368,7 +412,7 @@ def pairwise_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def label_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = V.label_vectors(
-        _embedded(spark, sf_dir), _comments(spark, sf_dir), _typed_users(spark, sf_dir)
+        _embedded(spark, sf_dir), _comments(spark, sf_dir), _written_typed_users(spark, sf_dir)
     )
     return labelled.select("id", "label", F.size("embedding").alias("dim"))
 
@@ -380,7 +424,7 @@ def project_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def plot_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = cut_lineage(_embedded(spark, sf_dir), "vectors")
-    table = V.plot_table(V.project_2d(vectors), _comments(spark, sf_dir), _typed_users(spark, sf_dir))
+    table = V.plot_table(V.project_2d(vectors), _comments(spark, sf_dir), _written_typed_users(spark, sf_dir))
     return table.select(_r6("x_1").alias("x_1"), _r6("x_2").alias("x_2"), "content", "label")
 
 
@@ -511,31 +555,25 @@ def remove_stopwords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.remove_stopwords(G.tokenize_posts(_posts(spark, sf_dir))).drop("type")
 
 
-def _lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nouns as far as the texts know them: every word of three letters and more stands in the lexicon."""
-    words = cut_lineage(W.vocabulary(_tokens(spark, sf_dir)), "vocabulary")
-    return G.noun_lemmas(words, words.filter(F.length("token") > 2).withColumnRenamed("token", "word"))
-
-
 def noun_lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lemmas(spark, sf_dir)
 
 
 def lemmatize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.lemmatize(_tokens(spark, sf_dir), _lemmas(spark, sf_dir)).drop("type")
+    return _lemma_tokens(spark, sf_dir).drop("type")
 
 
 def clean_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shown = G.clean_preview(given.people(spark, sf_dir), "INFP")
+    shown = G.clean_preview(given.people(spark, sf_dir), "INFP", lemmas=_lemmas(spark, sf_dir))
     return shown.withColumn("tokens", F.array_join("tokens", " "))
 
 
 def clean_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.group_tokens(_tokens(spark, sf_dir))
+    return G.group_tokens(_lemma_tokens(spark, sf_dir))
 
 
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.vocabulary(_tokens(spark, sf_dir))
+    return W.vocabulary(_counts(spark, sf_dir))
 
 
 def word_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -555,8 +593,9 @@ def rarity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def remove_rare_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = _written_tokens(spark, sf_dir)
-    return W.remove_rare_words(tokens, W.rare_words(W.word_occurrences(tokens))).drop("type")
+    tokens, lemmas = _tokens(spark, sf_dir), _lemmas(spark, sf_dir)
+    rare = cut_lineage(W.rare_words(W.word_occurrences(tokens, lemmas)), "rare-words")
+    return W.remove_rare_words(G.lemmatize(tokens, lemmas), rare).drop("type")
 
 
 # ---- weights ----------------------------------------------------------------------------------------------------------
@@ -567,7 +606,7 @@ def tf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def df_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.df_idf(_tf(spark, sf_dir)).withColumn("idf", _r6("idf"))
+    return H.df_idf(_tf(spark, sf_dir), _groups(spark, sf_dir)).withColumn("idf", _r6("idf"))
 
 
 def tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -576,8 +615,9 @@ def tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tfidf_per_person(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every person a group of their own: a frequent term then has very many rows."""
-    counts = cut_lineage(H.tf(W.term_counts(_tokens(spark, sf_dir), ("person",))), "tf-person")
-    return group_text.weighted_terms(counts, salts=8).withColumn("tfidf", _r6("tfidf"))
+    counts = cut_lineage(H.tf(_term_counts(spark, sf_dir, ("person",))), "tf-person")
+    salts = min(256, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return group_text.weighted_terms(counts, _groups(spark, sf_dir, ("person",)), salts).withColumn("tfidf", _r6("tfidf"))
 
 
 def tfidf_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -586,7 +626,7 @@ def tfidf_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def term_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = H.term_correlation(_written_weights(spark, sf_dir), CORRELATED_TERMS)
+    pairs = H.term_correlation(_written_weights(spark, sf_dir), CORRELATED_TERMS, _groups(spark, sf_dir))
     return pairs.withColumn("correlation", F.round("correlation", 5))
 
 
@@ -595,18 +635,18 @@ def group_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def term_group_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = H.term_group_correlation(_written_weights(spark, sf_dir))
+    grid = H.term_group_correlation(_written_weights(spark, sf_dir), _groups(spark, sf_dir))
     return grid.withColumn("correlation", F.round("correlation", 5))
 
 
 def term_group_correlation_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sparse = H.term_group_correlation_sparse(_written_weights(spark, sf_dir))
+    sparse = H.term_group_correlation_sparse(_written_weights(spark, sf_dir), _groups(spark, sf_dir))
     return sparse.withColumns({c: F.round(c, 5) for c in ("correlation", "correlation_elsewhere")})
 
 
 def top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coefficients are rounded before they are ranked, so that ties fall to the term's name."""
-    grid = H.term_group_correlation(_written_weights(spark, sf_dir), ordered=False)
+    grid = H.term_group_correlation(_written_weights(spark, sf_dir), _groups(spark, sf_dir), ordered=False)
     return H.top_terms(grid.withColumn("correlation", F.round("correlation", 5)), 10)
 
 
@@ -614,6 +654,7 @@ QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
         read_comments, read_users, user_names, read_people, read_threads, flatten_nested, write_user_types,
+        collect_users, collect_comments, collect_history,
         write_group_stats, write_word_counts,
         crawl_plan, hot_top_n, select_submissions, drop_authorless, authorless, flatten_threads, user_history,
         merge_users, merge_comments, merge_comments_keep_parent, normalise_nulls, format_created, check_integrity,

@@ -42,41 +42,24 @@ CRAWL_PLAN = T.StructType(
     ]
 )
 
-NODE_FIELDS = (
-    T.StructField("id", T.StringType(), True),
-    T.StructField("kind", T.StringType(), True),
-    T.StructField("author_id", T.StringType(), True),
-    T.StructField("author_name", T.StringType(), True),
-    T.StructField("author_flair_text", T.StringType(), True),
-    T.StructField("body", T.StringType(), True),
-    T.StructField("created_utc", T.LongType(), True),
-    T.StructField("score", T.LongType(), True),
-)
-
-
-def comment_forest(levels: int) -> T.ArrayType:
-    """Array of comments nested ``levels`` deep; replies below that stay as unread JSON text."""
-    replies: T.DataType = T.StringType()
-    for _ in range(levels):
-        node = T.StructType([*NODE_FIELDS, T.StructField("replies", replies, True)])
-        replies = T.ArrayType(node, True)
-    return replies
-
+UNPARSED = "_unparsed"
 
-def threads(levels: int) -> T.StructType:
-    """One landed submission with its comment forest."""
-    return T.StructType(
-        [
-            T.StructField("id", T.StringType(), True),
-            T.StructField("subreddit", T.StringType(), True),
-            T.StructField("link_flair_text", T.StringType(), True),
-            T.StructField("author_id", T.StringType(), True),
-            T.StructField("author_name", T.StringType(), True),
-            T.StructField("author_flair_text", T.StringType(), True),
-            T.StructField("title", T.StringType(), True),
-            T.StructField("selftext", T.StringType(), True),
-            T.StructField("created_utc", T.LongType(), True),
-            T.StructField("score", T.LongType(), True),
-            T.StructField("comments", comment_forest(levels), True),
-        ]
-    )
+#: One landed submission, without its comments: their nesting has no bound.
+THREAD = T.StructType(
+    [
+        T.StructField("id", T.StringType(), True),
+        T.StructField("subreddit", T.StringType(), True),
+        T.StructField("hot_rank", T.LongType(), True),
+        T.StructField("is_self", T.BooleanType(), True),
+        T.StructField("num_comments", T.LongType(), True),
+        T.StructField("link_flair_text", T.StringType(), True),
+        T.StructField("author_id", T.StringType(), True),
+        T.StructField("author_name", T.StringType(), True),
+        T.StructField("author_flair_text", T.StringType(), True),
+        T.StructField("title", T.StringType(), True),
+        T.StructField("selftext", T.StringType(), True),
+        T.StructField("created_utc", T.LongType(), True),
+        T.StructField("score", T.LongType(), True),
+        T.StructField(UNPARSED, T.StringType(), True),
+    ]
+)

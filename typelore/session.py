@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,34 +42,54 @@ def build_session(
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (a local test session) a temporary folder is made and remembered.
+    Only a session whose executors are threads of this process (a ``local`` master, as in tests) may leave it unset: a
+    temporary folder is then made and remembered. Elsewhere executors would write to disks of their own.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise RuntimeError(f"spark.checkpoint.dir is not set, and executors of {master} share no other folder")
     fallback = tempfile.mkdtemp(prefix="typelore-")
     spark.conf.set("spark.checkpoint.dir", fallback)
     return fallback
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/typelore/{name}-{uuid.uuid4().hex}"
+_RUN = "spark.typelore.run"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores where the files are too few for that, as a small table in one file is.
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Owns what is written in between: a folder of its own below the shared one, removed on leaving.
 
-    A large table has many files and is read as it lies, without a shuffle.
+    Results must be collected or written elsewhere before that. Work outside of it goes to a folder that nobody removes.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    before = spark.conf.get(_RUN, None)
+    folder = f"{shared_dir(spark)}/typelore/run-{uuid.uuid4().hex}"
+    spark.conf.set(_RUN, folder)
+    try:
+        yield folder
+    finally:
+        if before is None:
+            spark.conf.unset(_RUN)
+        else:
+            spark.conf.set(_RUN, before)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A path that no other run uses, below the folder of the current ``scratch`` or else the shared one."""
+    folder = spark.conf.get(_RUN, None) or f"{shared_dir(spark)}/typelore"
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so that later steps do not recompute it.
 
-    The written table survives the loss of executors.
+    The written table survives the loss of executors. Whoever calls an operator that does this owns the files: run it
+    within ``scratch``.
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
