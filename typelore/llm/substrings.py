@@ -7,7 +7,7 @@ window is removed where a document with a smaller id has it.
 
 Both times the question is who else has a hash. Entries travel packed, one row per task and range of hashes, to where
 the ranges are put together. A hash that is frequent within a task goes there as one summary of its documents; its
-entries stay spread over tasks and learn the answer through a join.
+entries are dealt by document too, and the answer is sent to all parts.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ PERIOD, COVER = 31, (0, 1, 3, 8, 12, 18)
 
 #: Entries packed together by a task, from how many entries of one hash on it is summed up, and entries per range.
 FLUSH, FREQUENT, RANGE = 1 << 19, 64, 200_000
+#: Ranges of which frequent hashes are settled together, and parts into which their documents are dealt.
+WIDE, SALTS = 16, 32
 
 Entries = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # hash, doc, row, place
 
@@ -60,8 +62,9 @@ def _flush(held: list[Entries], ranges: int) -> pa.RecordBatch:
         frequent = np.flatnonzero(counts >= FREQUENT)
         at = first[frequent]
         none = np.full(len(frequent), -1, np.int64)
-        # entries of frequent hashes are dealt by their document, behind the ranges
-        bucket[often] = ranges + (W.mix(doc[often].astype(np.uint64)) % np.uint64(ranges)).astype(np.int64)
+        # entries of frequent hashes are dealt by their document as well, behind the ranges
+        salt = (W.mix(doc[often].astype(np.uint64)) % np.uint64(SALTS)).astype(np.int64)
+        bucket[often] = ranges + bucket[often] // WIDE * SALTS + salt
         hashes = np.concatenate([hashes, hashes[at], hashes[at]])
         doc, row = np.concatenate([doc, low[frequent], high[frequent]]), np.concatenate([row, none, none])
         place = np.concatenate([place, none.astype(np.int32), none.astype(np.int32)])
@@ -77,35 +80,74 @@ def _flush(held: list[Entries], ranges: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(names), *columns], ["bucket", "hashes", "docs", "rows", "places"])
 
 
+_ENTRY = {"hashes": np.uint64, "docs": np.int64, "rows": np.int64, "places": np.int32}
+_MARK = "kind int, bucket long, row long, at array<int>, hash long, low long"
+_PACKED = "hashes binary, docs binary, rows binary, places binary"
+
+
+def _unpacked(frame) -> list[np.ndarray]:
+    return [np.frombuffer(b"".join(frame[name]), kind) for name, kind in _ENTRY.items()]
+
+
+def _places_by_row(row: np.ndarray, place: np.ndarray) -> dict:
+    import pandas as pd
+
+    order = np.argsort(row, kind="stable")
+    names, starts = np.unique(row[order], return_index=True)
+    parts = np.split(place[order], starts[1:]) if len(names) else []
+    return {"row": names.astype(np.int64), "at": pd.Series(parts, dtype=object)}
+
+
 def _shared(packed: DataFrame, ranges: int, later_only: bool, name: str) -> DataFrame:
-    """(row, place) of the entries whose hash is in another document too, or in one with a smaller id (``later_only``)."""
+    """(row, places) of the entries whose hash is in another document too, or in one with a smaller id (``later_only``)."""
 
     def gather(frame):
         import pandas as pd
 
-        kind = {"hashes": np.uint64, "docs": np.int64, "rows": np.int64, "places": np.int32}
-        hashes, doc, row, place = (np.frombuffer(b"".join(frame[c]), t) for c, t in kind.items())
-        if frame["bucket"].iloc[0] >= ranges:
-            return pd.DataFrame({"kind": 2, "hash": hashes.view(np.int64), "doc": doc, "row": row, "place": place})
+        own = int(frame["bucket"].iloc[0])
+        if own >= ranges:  # frequent hashes: as they are, to be settled below
+            return frame[["bucket", *_ENTRY]].assign(kind=2, row=0, at=None, hash=0, low=0)
+        hashes, doc, row, place = _unpacked(frame)
         order = np.argsort(hashes, kind="stable")
         hashes, doc, row, place = hashes[order], doc[order], row[order], place[order]
         starts = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
         sizes = np.diff(np.concatenate([starts, [len(hashes)]]))
         low, high = (np.repeat(f.reduceat(doc, starts), sizes) for f in (np.minimum, np.maximum))
         found = (low != high) & (place >= 0) & ((doc > low) | (not later_only))
-        plain = pd.DataFrame({"kind": 0, "hash": np.int64(0), "doc": np.int64(0), "row": row[found], "place": place[found]})
+        plain = pd.DataFrame(_places_by_row(row[found], place[found])).assign(kind=0, bucket=0, hash=0, low=0)
         summed, at = np.unique(hashes[place < 0], return_index=True)
         low, high = low[place < 0][at], high[place < 0][at]
-        hot = pd.DataFrame({"kind": 1, "hash": summed.view(np.int64), "doc": low, "row": np.int64(0), "place": np.int32(0)})
-        return pd.concat([plain, hot[low != high]]).astype({"kind": "int32", "row": "int64", "place": "int32"})
+        shared = low != high
+        hot = pd.DataFrame({"hash": summed.view(np.int64)[shared], "low": low[shared]})
+        hot = hot.assign(kind=1, bucket=ranges + own // WIDE * SALTS, row=0, at=None)
+        return pd.concat([plain, hot]).assign(**dict.fromkeys(_ENTRY))
+
+    order = ["kind", "bucket", "row", "at", "hash", "low", *_ENTRY]
+    marks = cut_lineage(
+        packed.groupBy("bucket").applyInPandas(lambda frame: gather(frame)[order], f"{_MARK}, {_PACKED}"), name
+    )
+    # the answers to frequent hashes go to all parts of their documents
+    answers = marks.filter("kind = 1").select(
+        F.explode(F.sequence("bucket", F.col("bucket") + (SALTS - 1))).alias("bucket"), "hash", "low"
+    )
+
+    def settle(left, right):
+        import pandas as pd
+
+        if not len(left) or not len(right):
+            return pd.DataFrame({"row": [], "places": []}).astype({"row": "int64", "places": object})
+        hashes, doc, row, place = _unpacked(left)
+        known = right.sort_values("hash")
+        values, low = known["hash"].to_numpy(), known["low"].to_numpy()
+        spot = np.minimum(np.searchsorted(values, hashes.view(np.int64)), len(values) - 1)
+        found = (values[spot] == hashes.view(np.int64)) & ((doc > low[spot]) | (not later_only))
+        out = pd.DataFrame(_places_by_row(row[found], place[found]))
+        return out.rename(columns={"at": "places"}).astype({"row": "int64"})
 
-    schema = "kind int, hash long, doc long, row long, place int"
-    marks = cut_lineage(packed.groupBy("bucket").applyInPandas(gather, schema), name)
-    known = marks.filter("kind = 1").select("hash", F.col("doc").alias("low"))
-    frequent = marks.filter("kind = 2").join(known, "hash")
-    if later_only:
-        frequent = frequent.filter("doc > low")
-    return marks.filter("kind = 0").select("row", "place").union(frequent.select("row", "place"))
+    entries = marks.filter("kind = 2").select("bucket", *_ENTRY)
+    frequent = entries.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInPandas(settle, "row long, places array<int>")
+    found = marks.filter("kind = 0").select("row", F.col("at").alias("places")).union(frequent)
+    return found.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
 
 
 def _anchors(texts: list[bytes], window: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -170,9 +212,7 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
 
     packed_schema = "bucket long, hashes binary, docs binary, rows binary, places binary"
     packed = known.select("h", F.col("t").cast("binary").alias("b")).mapInArrow(anchors, packed_schema)
-    anchored = _shared(packed, ranges, False, "anchors").groupBy(F.col("row").alias("h")).agg(
-        F.collect_set("place").alias("places")
-    )
+    anchored = _shared(packed, ranges, False, "anchors").withColumnRenamed("row", "h")
     wanted = anchored.join(firsts, "h").withColumnRenamed("first", "id")
     # one row per text that may share a window; rows that repeat id and text stand for the same
     near = known.join(wanted, ["id", "h"]).withColumn("row", F.monotonically_increasing_id())
@@ -195,7 +235,7 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
         return _packed(parts(), ranges_2)
 
     windows = near.select("id", "row", "b", "places").mapInArrow(full, packed_schema)
-    repeated = _shared(windows, ranges_2, True, "windows").groupBy("row").agg(F.collect_set("place").alias("starts"))
+    repeated = _shared(windows, ranges_2, True, "windows").withColumnRenamed("places", "starts")
 
     def cut(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
