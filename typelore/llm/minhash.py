@@ -170,11 +170,11 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, how: Similarity) -> DataFrame
     return both.mapInArrow(run, "a long, b long")
 
 
-def _clusters(members: DataFrame, labels: DataFrame, reps: DataFrame, how: Similarity) -> DataFrame:
-    """(node, label): representatives that pairs within reach connect, where such pairs are in no common component yet.
+def _near(members: DataFrame, labels: DataFrame, reps: DataFrame, how: Similarity) -> DataFrame:
+    """(a, b): edges that connect what pairs within reach connect, where such pairs have no common label yet.
 
     Buckets are cut into blocks of some hundred members. A task compares two blocks at a time as matrices of signatures
-    and puts out one row per member and group found, never the pairs.
+    and puts out one row per member of a group found, never the pairs.
     """
     labelled = (
         members.join(labels, F.col("id") == F.col("node"), "left")
@@ -211,9 +211,11 @@ def _clusters(members: DataFrame, labels: DataFrame, reps: DataFrame, how: Simil
                 if (new_x == low_x).all() and (new_y == low_y).all():
                     break
                 low_x, low_y = new_x, new_y
-            yield _pair_batch(np.concatenate([low_x, low_y]), np.concatenate([one, two]))
+            both, at = np.unique(np.concatenate([one, two]), return_index=True)
+            low = np.concatenate([low_x, low_y])[at]
+            yield _pair_batch(low[low != both], both[low != both])
 
-    return components(dealt.mapInArrow(_by_group(groups, ("key", "i", "j")), "a long, b long"))
+    return dealt.mapInArrow(_by_group(groups, ("key", "i", "j")), "a long, b long")
 
 
 def _links_within(clusters: DataFrame, labels: DataFrame, texts: DataFrame, how: Similarity) -> DataFrame:
@@ -222,12 +224,15 @@ def _links_within(clusters: DataFrame, labels: DataFrame, texts: DataFrame, how:
     Clusters are cut into blocks; a task intersects all sets of two blocks by counting, and only puts out a link where it
     joins two components that no other link of these blocks has joined.
     """
-    own = clusters.select("node", F.col("label").alias("cluster"))
-    sizes = own.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-    blocks = cut_lineage(sizes.select("cluster", F.ceil(F.col("size") / SETS).cast("int").alias("blocks")), "blocks")
     known = labels.select(F.col("node").alias("id"), "label")
-    rows = own.withColumnRenamed("node", "id").join(texts, "id").join(known, "id", "left").join(blocks, "cluster")
-    dealt = _block_pairs(rows.withColumn("label", F.coalesce("label", "id")), ["cluster"], ["id", "label", "t"])
+    own = clusters.select(F.col("node").alias("id"), F.col("label").alias("cluster")).join(known, "id", "left")
+    own = cut_lineage(own.withColumn("label", F.coalesce("label", "id")), "clusters")
+    sizes = own.groupBy("cluster").agg(
+        F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size")
+    )
+    open_ = sizes.filter("low < high").select("cluster", F.ceil(F.col("size") / SETS).cast("int").alias("blocks"))
+    rows = own.join(cut_lineage(open_, "blocks"), "cluster").join(texts, "id")
+    dealt = _block_pairs(rows, ["cluster"], ["id", "label", "t"])
 
     def links(group: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ids, label = (group.column(c).to_numpy() for c in ("id", "label"))
@@ -351,8 +356,11 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", h
     texts = cut_lineage(found.select("id", "t"), "texts")
     links = cut_lineage(_confirmed(first, texts, how), "links")
     labels = components(links)
-    clusters = _clusters(members, labels, reps, how)
-    more = cut_lineage(_links_within(clusters, labels, texts, how), "links")
+    # a quarter of the buckets joins most of what is near, so that little is left to compare in the others
+    some = F.pmod("key", F.lit(4)) == 0
+    near = links.union(cut_lineage(_near(members.filter(some), labels, reps, how), "near"))
+    near = near.union(cut_lineage(_near(members.filter(~some), components(near), reps, how), "near"))
+    more = cut_lineage(_links_within(components(near), labels, texts, how), "links")
     if not more.isEmpty():
         labels = components(links.union(more))
     # labels are by representative; the component is named after its smallest document
