@@ -60,6 +60,8 @@ def test_null_empty_long_and_repeated_rows(spark, docs):
     got = sorted((r.doc_id or 0, r.n_tokens, bytes(r.decoded)) for r in out.collect())
     want = sorted((i or 0, len(REFERENCE.encode_ordinary(t or "")), (t or "").encode()) for i, t in rows)
     assert got == want
+    both = bpe.round_trip(frame, RANKS, public_tokenizers.PATTERN, memory=0.1)
+    assert both.columns == out.columns and sorted(map(repr, both.collect())) == sorted(map(repr, out.collect()))
     assert bpe.encode(frame.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
     with pytest.raises(ValueError):
         bpe.encode(frame.withColumn("ids", frame.doc_id), RANKS, public_tokenizers.PATTERN)

@@ -48,7 +48,7 @@ class _State:
 class Transducer:
     """Token ids of one piece of bytes. States and transitions are built when first needed."""
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], memory: float = 1.0):
         missing = [b for b in range(256) if bytes([b]) not in ranks]
         if missing:
             raise ValueError(f"the vocabulary lacks single bytes: {missing[:5]}")
@@ -56,6 +56,7 @@ class Transducer:
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.openings = {o: o for o in {token[:n] for token in ranks for n in range(1, len(token))}}
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.most_states, self.most_pairs = int(MAX_STATES * memory), int(MAX_PAIRS * memory)
         self._reset()
 
     def _reset(self) -> None:
@@ -86,7 +87,7 @@ class Transducer:
         key = (last, token)
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) >= MAX_PAIRS:
+            if len(self.pairs) >= self.most_pairs:
                 self.pairs.clear()
             right = self.tokens[token]
             want = [right] if last < 0 else [self.tokens[last], right]
@@ -112,7 +113,7 @@ class Transducer:
         return step
 
     def encode(self, piece: bytes) -> list[int]:
-        if len(self.states) > MAX_STATES:
+        if len(self.states) > self.most_states:
             self._reset()
         state, out = self.start, []
         for byte in piece:
@@ -126,34 +127,37 @@ class Transducer:
 class _Pieces(dict):
     """Packed ids by piece, encoded when first asked for."""
 
-    def __init__(self, transducer: Transducer):
+    def __init__(self, transducer: Transducer, memory: float = 1.0):
         super().__init__()
-        self.transducer = transducer
+        self.transducer, self.most = transducer, int(MAX_PIECES * memory)
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.transducer.encode(piece.encode())
         packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= 64:
-            if len(self) >= MAX_PIECES:
+            if len(self) >= self.most:
                 self.clear()
             self[piece] = packed
         return packed
 
 
 class Encoder:
-    """Packed ids (little-endian, 32 bits each) of whole texts, cut into pieces by a pattern first."""
+    """Packed ids (little-endian, 32 bits each) of whole texts, cut into pieces by a pattern first.
+
+    ``memory`` scales what is remembered; about 300 MB at 1.
+    """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memory: float = 1.0):
         self.find = regex.compile(pattern).findall
-        self.pieces = _Pieces(Transducer(ranks))
+        self.pieces = _Pieces(Transducer(ranks, memory), memory)
 
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.find(text)))
 
 
 @lru_cache(2)
-def _encoder(key: str, pattern: str) -> Encoder:
-    return Encoder(_VOCABULARIES[key], pattern)
+def _encoder(key: str, pattern: str, memory: float = 1.0) -> Encoder:
+    return Encoder(_VOCABULARIES[key], pattern, memory)
 
 
 @lru_cache(2)
@@ -308,6 +312,42 @@ def decode(
     return _per_task(df, ranks, build, more, None)
 
 
+def round_trip(
+    df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", memory: float = 1.0
+) -> DataFrame:
+    """``decode`` of ``encode`` in one pass, so that a task needs one Python worker with one vocabulary.
+
+    Adds ``ids``, ``n_tokens``, ``decoded`` and ``is_utf8`` and drops ``text``; nulls and other columns as in ``encode``.
+    ``memory`` as in ``Encoder``.
+    """
+    _new(df, text, "ids", "n_tokens", "decoded", "is_utf8")
+
+    def build(key: str):
+        encoder, decoder = _encoder(key, pattern, memory), _decoder(key)
+
+        def add(batch: pa.RecordBatch) -> list[pa.Array]:
+            texts = batch.column(batch.schema.get_field_index("_bytes")).to_pylist()
+            packed = [encoder.encode((t or b"").decode("utf-8", "replace")) for t in texts]
+            pairs = [decoder.decode(p) for p in packed]
+            return [
+                pa.array(packed, pa.binary()),
+                pa.array([len(p) // 4 for p in packed], pa.int64()),
+                pa.array([p[0] for p in pairs], pa.binary()),
+                pa.array([p[1] for p in pairs], pa.bool_()),
+            ]
+
+        return add
+
+    as_bytes = df.withColumn("_bytes", F.col(text).cast("binary")).drop(text)
+    more = [
+        T.StructField("ids", T.BinaryType()),
+        T.StructField("n_tokens", T.LongType()),
+        T.StructField("decoded", T.BinaryType()),
+        T.StructField("is_utf8", T.BooleanType()),
+    ]
+    return _per_task(as_bytes, ranks, build, more, "_bytes")
+
+
 def _new(df: DataFrame, replaced: str | None, *names: str) -> None:
     clash = {c for c in df.columns if c != replaced} & {*names, "_bytes"}
     if clash:
