@@ -41,8 +41,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids per document, and the hash of what they decode to."""
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), ranks, public_tokenizers.PATTERN)
-    decoded = bpe.decode(encoded, ranks)
+    texts = docs.select("doc_id", "lang", "source", "text")
+    # the stages before have filled the executors' memory already
+    decoded = bpe.round_trip(texts, ranks, public_tokenizers.PATTERN, memory=0.4)
     return decoded.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
