@@ -133,8 +133,8 @@ def search(
     empty table, or one without usable vectors, gives an empty result; all other columns are ignored.
 
     Equal vectors are one entry with their ``neighbours + 1`` smallest ids, more of which cannot be among the nearest. The
-    sizes of cells are one number per cell. Blocks of vectors meet blocks of queries that visit their cell, so neither a
-    large cell nor a cell that all queries visit gathers in one task.
+    sizes of cells are one number per cell. Blocks of vectors meet blocks of queries that visit some of their cells, so neither
+    a large cell nor one that all queries visit gathers in one task, and each query leaves a block with its nearest only.
     """
     spark = df.sparkSession
     rows = df.filter(usable(vector)).filter(F.col(vec_id).isNotNull()).select(
@@ -157,56 +157,69 @@ def search(
         held[cell] = size
     budget = int(np.ceil(index.share * held.sum()))
 
+    # neighbouring cells make shards of about BLOCK vectors; a larger cell is a shard of its own, cut into parts
+    shard, full = np.zeros(index.cells, np.int64), 0
+    for cell, size in enumerate(held.tolist()):
+        if cell and full + size > BLOCK:
+            shard[cell], full = shard[cell - 1] + 1, 0
+        elif cell:
+            shard[cell] = shard[cell - 1]
+        full += size
+    in_shard = np.bincount(shard, weights=held)
+
     def visits(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow:
             if not batch.num_rows:
                 continue
             one, two = index.distances(_stack(batch.column("v")))
             for i in range(batch.num_rows):
-                cells = walk(one[i], two[i], held, budget)
-                repeated = batch.slice(i, 1).take(pa.array(np.zeros(len(cells), np.int64)))
-                blocks = pa.array(cells, pa.int64())
-                yield pa.RecordBatch.from_arrays([*repeated.columns, blocks], ["query_id", "v", "cell"])
+                cells = np.sort(np.array(walk(one[i], two[i], held, budget), np.int64))
+                names, starts = np.unique(shard[cells], return_index=True)
+                repeated = batch.slice(i, 1).take(pa.array(np.zeros(len(names), np.int64)))
+                listed = pa.array(np.split(cells, starts[1:]), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*repeated.columns, pa.array(names), listed], ["query_id", "v", "shard", "cells"])
 
     queries = rows.filter("asked").select(F.col("id").alias("query_id"), "v")
-    visited = cut_lineage(queries.mapInArrow(visits, "query_id long, v array<double>, cell long"), "visits")
-    asked = visited.groupBy("cell").agg(F.count(F.lit(1)).alias("asked"))
-    shape = cut_lineage(
-        sizes.join(asked, "cell").select(
-            "cell",
-            F.ceil(F.col("size") / BLOCK).cast("int").alias("parts"),
-            F.ceil(F.col("asked") / BLOCK).cast("int").alias("groups"),
-        ),
-        "shape",
-    )
-    # cells and visits are dealt over the pairs of parts of vectors and groups of queries of their cell
-    vectors = placed.join(F.broadcast(shape), "cell").select(
-        "cell", F.pmod(F.xxhash64("v"), "parts").cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), "v", "ids"
-    )
-    asking = visited.join(F.broadcast(shape), "cell").select(
-        "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("query_id"), "groups").cast("int").alias("group"), "v", "query_id"
+    visited = cut_lineage(
+        queries.mapInArrow(visits, "query_id long, v array<double>, shard long, cells array<long>"), "visits"
     )
+    asked = visited.groupBy("shard").agg(F.count(F.lit(1)).alias("asked")).collect()  # at most a row per cell
+    shape = [(r.shard, max(1, -(-int(in_shard[r.shard]) // BLOCK)), -(-r.asked // BLOCK)) for r in asked]
+    shape = F.broadcast(spark.createDataFrame(shape, "shard long, parts int, groups int"))
+    of_cell = F.broadcast(spark.createDataFrame(list(enumerate(shard.tolist())), "cell long, shard long"))
+    # vectors and visits are dealt over the pairs of parts of vectors and groups of queries of their shard
+    vectors = placed.join(of_cell, "cell").join(shape, "shard").select(
+        "shard", F.pmod(F.xxhash64("v"), "parts").cast("int").alias("part"),
+        F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), "cell", "v", "ids",
+    )
+    asking = visited.join(shape, "shard").select(
+        "shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
+        F.pmod(F.xxhash64("query_id"), "groups").cast("int").alias("group"), "cells", "v", "query_id",
+    )
 
     def rank(left, right):
         import pandas as pd
 
-        out = {"query_id": [], "id": [], "score": []}
+        out: dict[str, list] = {"query_id": [], "id": [], "score": []}
         if len(left) and len(right):
-            x, ids = np.stack(left["v"]), left["ids"].to_numpy()
+            x, ids, cell = np.stack(left["v"]), left["ids"].to_numpy(), left["cell"].to_numpy()
             near = _squared(np.stack(right["v"]), x)
-            for q, row, query in zip(right["query_id"], near, right["v"], strict=True):
+            for q, row, query, cells in zip(right["query_id"], near, right["v"], right["cells"], strict=True):
+                row = np.where(np.isin(cell, cells), row, np.inf)
                 # the fast form only narrows down; distances that count are taken from the differences
-                most = np.partition(row, min(neighbours, len(row) - 1))[: neighbours + 1].max() + 1e-6 * (1 + abs(row).max())
+                kth = np.partition(row, min(neighbours, len(row) - 1))[: neighbours + 1].max()
+                most = kth + 1e-6 * (1 + abs(kth)) if np.isfinite(kth) else np.finfo(float).max
+                best = []
                 for at in np.flatnonzero(row <= most):
-                    own = np.array([i for i in ids[at] if i != q])
-                    out["query_id"] += [q] * len(own)
-                    out["id"] += own.tolist()
-                    out["score"] += [float(np.sqrt(((x[at] - query) ** 2).sum()))] * len(own)
-        frame = pd.DataFrame(out)
-        best = frame.sort_values(["query_id", "score", "id"]).groupby("query_id").head(neighbours)
-        return best.astype({"query_id": "int64", "id": "int64", "score": "float64"})
-
-    keys = ["cell", "part", "group"]
+                    far = float(np.sqrt(((x[at] - query) ** 2).sum()))
+                    best += [(far, int(i)) for i in ids[at] if i != q]
+                for far, i in sorted(best)[:neighbours]:
+                    out["query_id"].append(q)
+                    out["id"].append(i)
+                    out["score"].append(far)
+        return pd.DataFrame(out).astype({"query_id": "int64", "id": "int64", "score": "float64"})
+
+    keys = ["shard", "part", "group"]
     found = vectors.groupBy(*keys).cogroup(asking.groupBy(*keys)).applyInPandas(rank, "query_id long, id long, score double")
     best = first_n_per_group(found, ["query_id"], [F.col("score"), F.col("id")], neighbours, rank_col="rank")
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
