@@ -51,6 +51,30 @@ def test_random_stretches_are_added_and_long_words_are_not(spark, docs):
     assert sum(found[100 + i] for i in range(60)) == 0
 
 
+def test_every_class_has_usable_decoys(spark, sf_dir):
+    key = {"decimal": "7", "hex": "c", "hex_upper": "C", "letters": "q", "base32": "Q", "base36_upper": "Q8", "base64": "q_Q8"}
+    texts = queries.table(spark, sf_dir, "documents").select("text").filter("length(text) > 600")
+    for name, *_ in S.ENCODINGS:
+        stretch = (key[name] * 22)[:22]
+        frame = texts.select(S.F.concat("text", S.F.lit(f" {stretch} "), "text").alias("t"))
+        marked = S.F.explode(S._tested(S.F.col("t"), S.F.array().cast(f"array<{S._SPAN}>")))
+        own = frame.select(marked.alias("s")).filter(S.F.col("s.class") == f"{name}:4").select("s.decoy")
+        decoys = [d for (d,) in own.collect() for d in (d if isinstance(d, list) else [d])]
+        assert decoys and None not in decoys, name
+        assert min(decoys) <= S.MOST_DEVIATION, name
+
+
+def test_ids_in_clean_documents_stay(spark, docs, sf_dir):
+    rng = random.Random(5)
+    texts = [t for (t,) in queries.table(spark, sf_dir, "documents").select("text").collect() if t and len(t) > 600]
+    prose = lambda: rng.choice(texts)[rng.randrange(50) :][:550] + " "
+    stamp = lambda: f"2024{rng.randint(1, 12):02}{rng.randint(1, 28):02}{rng.randint(0, 23):02}{rng.randint(0, 59):02}"
+    rows = [(i, f"{prose()}{stamp()}{rng.randint(10**9, 10**10 - 1)} {prose()}") for i in range(60)]
+    rows += [(100 + i, f"{prose()}{stamp()}A{rng.randint(10**8, 10**9 - 1)}F {prose()}") for i in range(60)]
+    frame, ids = docs(rows), ("decimal:4", "hex_upper:4")
+    assert not [r for r in S.limits(frame).collect() if r["class"] in ids]
+
+
 def test_redaction(spark, docs):
     rows = [(1, "é token=abcdef123 end"), (2, None), (3, ""), (4, "clean"), (4, "clean"), (None, "AKIA" + "A" * 16)]
     rows += [(5, "token = " + "a1b2c3d4" * 4 + "g")]

@@ -4,7 +4,8 @@ Stretches of 20 and more characters of an encoding are tested for being random:
 above and below the middle of the alphabet, and serial correlation, each as a standardised deviation. The sum of their
 squares is small for random characters. How small it must be is set per encoding and length class from the whole
 table: each stretch has a decoy of the same length and alphabet, made of the letters of the text around it, and a limit
-is the largest at which decoys below it are at most a fixed share of the stretches below it.
+is the largest at which decoys below it are at most a fixed share of the stretches below it. In alphabets that hold all
+digits but few letters or none, decoys are made of letters and digits, and the letters are spread over the alphabet.
 """
 
 from __future__ import annotations
@@ -45,6 +46,13 @@ ENCODINGS = (
     ("base64", "", _U + _L + _D + "+/"),
 )
 
+#: Encodings whose decoys are made of digits too, and the letters that the other letters of a text become there.
+SPREAD = {
+    "decimal": (_L, (_D * 3)[: len(_L)]),
+    "hex": (_L[6:], _D * 2),
+    "hex_upper": (_U[6:], _D * 2),
+}
+
 _SPAN = "struct<start:int,end:int,rank:int,kind:string>"
 
 
@@ -144,6 +152,17 @@ def deviation(symbols: Column, size: Column) -> Column:
     return let(symbols, lambda x: F.when(F.size(x) >= 2, tests(x)))
 
 
+def _folded(around: Column, encoding: Column) -> Column:
+    """Characters of a text as they are used for decoys: all of them are in the alphabet of the encoding."""
+    letters = F.regexp_replace(around, "[^A-Za-z]", "")
+    both = F.regexp_replace(around, "[^A-Za-z0-9]", "")
+    spread = [
+        F.when(encoding == name, F.translate((F.upper if name == "hex_upper" else F.lower)(both), *pair))
+        for name, pair in SPREAD.items()
+    ]
+    return F.coalesce(*spread, F.when(encoding.isin("base32", "base36_upper"), F.upper(letters)), letters)
+
+
 def _tested(text: Column, base: Column) -> Column:
     """Stretches outside the base spans with their class, deviation, and the deviation of their decoy."""
 
@@ -157,9 +176,7 @@ def _tested(text: Column, base: Column) -> Column:
             around = F.concat(
                 F.substring(text, s["end"] + 1, 20 * n), F.substring(text, before + 1, s["start"] - before)
             )
-            letters = F.regexp_replace(around, "[^A-Za-z]", "")
-            folded = F.when(encoding.isin("hex_upper", "base32", "base36_upper"), F.upper(letters)).otherwise(letters)
-            decoy = F.slice(_symbols(folded, encoding), F.lit(1), F.greatest(n, F.lit(1)))
+            decoy = F.slice(_symbols(_folded(around, encoding), encoding), F.lit(1), F.greatest(n, F.lit(1)))
             return F.struct(
                 s["start"].alias("start"),
                 s["end"].alias("end"),
