@@ -3,13 +3,15 @@
 Stretches of 20 and more characters of an encoding are tested for being random: alphabet uniformity (chi-squared), runs
 above and below the middle of the alphabet, and serial correlation, each as a standardised deviation. The sum of their
 squares is small for random characters. How small it must be is set per encoding and length class from the whole
-table: each stretch has a decoy of the same length and alphabet, made of the letters of the text around it, and a limit
-is the largest at which decoys below it are at most a fixed share of the stretches below it. In alphabets that hold all
+table: each stretch has decoys of the same length and alphabet, made of the letters of the text around it, and a limit
+is the largest at which decoys below it, per decoy that a stretch has, are at most a fixed share of the stretches below
+it. A stretch has as many decoys as it takes to decide on it alone. In alphabets that hold all
 digits but few letters or none, decoys are made of letters and digits, and the letters are spread over the alphabet.
 """
 
 from __future__ import annotations
 
+import math
 import string
 
 from pyspark.sql import Column, DataFrame
@@ -46,6 +48,20 @@ ENCODINGS = (
     ("base64", "", _U + _L + _D + "+/"),
 )
 
+#: Continues texts that are too short for the decoys of a stretch.
+PROSE = (
+    "When the ferry came in late that evening nobody was left on the quay except two porters and a girl with a bicycle. "
+    "She had been told to wait for an uncle whom she knew only from a photograph, and she looked at every face twice. "
+    "Die Leute gingen langsam vorbei, denn es hatte geregnet und das Pflaster war glatt; einige trugen schwere Koffer. "
+    "Un vieux monsieur demanda le chemin de la gare, puis il repartit sans attendre la réponse de personne. "
+    "By 1987 the harbour had 14 cranes, 250 boats and a market on Fridays, but most of that is gone now. "
+    "What remains is a low building of brick where they sell maps, rope, lamp oil and quite good coffee. "
+    "El dueño vive arriba con su familia y abre la puerta a las ocho, aunque haga frío o llueva mucho. "
+    "Just before dark the last of the gulls settle along the jetty, and you can hear the fixed buoys knocking outside. "
+    "Quando o vento muda, os pescadores voltam cedo e contam histórias que ninguém acredita, nem mesmo eles. "
+    "Every visitor signs a book, gives the number of nights, and is asked whether the window may be kept open. "
+)
+
 #: Encodings whose decoys are made of digits too, and the letters that the other letters of a text become there.
 SPREAD = {
     "decimal": (_L, (_D * 3)[: len(_L)]),
@@ -110,8 +126,10 @@ def _with_value(text: Column, spans: Column) -> Column:
 def _symbols(value: Column, encoding: Column) -> Column:
     """Places in the alphabet; characters outside it (padding) are left out."""
     plain = F.when(encoding == "letters", F.lower(value)).otherwise(F.translate(value, "-_", "+/"))
-    alphabet = _by_encoding(encoding, lambda e: F.lit(e[2]))
-    places = F.transform(F.split(plain, ""), lambda c: F.when(c == "", -1).otherwise(F.instr(alphabet, c) - 1))
+    places = let(
+        _by_encoding(encoding, lambda e: F.lit(e[2])),
+        lambda alphabet: F.transform(F.split(plain, ""), lambda c: F.when(c == "", -1).otherwise(F.instr(alphabet, c) - 1)),
+    )
     return F.filter(places, lambda x: x >= 0)
 
 
@@ -163,8 +181,10 @@ def _folded(around: Column, encoding: Column) -> Column:
     return F.coalesce(*spread, F.when(encoding.isin("base32", "base36_upper"), F.upper(letters)), letters)
 
 
-def _tested(text: Column, base: Column) -> Column:
-    """Stretches outside the base spans with their class, deviation, and the deviation of their decoy."""
+def _tested(text: Column, base: Column, decoys: int = 1) -> Column:
+    """Stretches outside the base spans with their class, deviation, and the deviations of their decoys."""
+
+    plain = sum(c.isascii() and c.isalpha() for c in PROSE)
 
     def judge(s: Column) -> Column:
         encoding = encoding_of(s["value"])
@@ -176,13 +196,19 @@ def _tested(text: Column, base: Column) -> Column:
             around = F.concat(
                 F.substring(text, s["end"] + 1, 20 * n), F.substring(text, before + 1, s["start"] - before)
             )
-            decoy = F.slice(_symbols(_folded(around, encoding), encoding), F.lit(1), F.greatest(n, F.lit(1)))
+            missing = decoys * n - F.char_length(F.regexp_replace(around, "[^A-Za-z]", ""))
+            whole = F.when(missing > 0, F.concat(around, F.repeat(F.lit(PROSE), F.ceil(missing / plain).cast("int")))).otherwise(around)
+
+            def of(characters: Column) -> Column:
+                part = lambda i: _symbols(F.substring(characters, i * n + 1, n), encoding)
+                return F.transform(F.sequence(F.lit(0), F.lit(decoys - 1)), lambda i: deviation(part(i), size))
+
             return F.struct(
                 s["start"].alias("start"),
                 s["end"].alias("end"),
                 F.concat_ws(":", encoding, F.floor(F.log2(F.greatest(n, F.lit(1)).cast("double"))).cast("string")).alias("class"),
                 deviation(symbols, size).alias("deviation"),
-                let(decoy, lambda d: F.when(F.size(d) == n, deviation(d, size))).alias("decoy"),
+                *([let(_folded(whole, encoding), of).alias("decoys")] if decoys else []),
             )
 
         return let(_symbols(s["value"], encoding), entry)
@@ -199,22 +225,24 @@ def _tested(text: Column, base: Column) -> Column:
 def limits(df: DataFrame, text: str = "text", false_share: float = FALSE_SHARE) -> DataFrame:
     """Per class (encoding and power of two of the length) the largest deviation that counts as random.
 
+    The best of a stretch and its ``m`` decoys is the stretch with a chance of 1 / (m + 1) if it is like them; so of the
+    stretches below a limit, (decoys + 1) / m are false at most, and with m * false_share >= 1 one stretch is enough.
+
     Deviations are counted in buckets of stretches and decoys over all rows: a few thousand counters, whatever the input.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     near = df.select(whole.alias("t")).filter(F.col("t").rlike(STRETCH))
-    tested = near.select(F.explode(_tested(F.col("t"), _base(F.col("t")))).alias("s"))
+    each = math.ceil(1 / false_share)
+    tested = near.select(F.explode(_tested(F.col("t"), _base(F.col("t")), each)).alias("s"))
     most = int(MOST_DEVIATION * BUCKETS)
-    bucket = lambda c: F.least(F.floor(F.col(c) * BUCKETS), F.lit(most + 1))
-    both = F.explode(
-        F.array(
-            F.struct(bucket("s.deviation").alias("bucket"), F.lit(1).alias("real"), F.lit(0).alias("decoy")),
-            F.struct(bucket("s.decoy").alias("bucket"), F.lit(0).alias("real"), F.lit(1).alias("decoy")),
-        )
-    )
+
+    def entry(c: Column, real: int) -> Column:
+        bucket = F.least(F.floor(c * BUCKETS), F.lit(most + 1))
+        return F.struct(bucket.alias("bucket"), F.lit(real).alias("real"), F.lit(1 - real).alias("decoy"))
+
+    both = F.concat(F.array(entry(F.col("s.deviation"), 1)), F.transform("s.decoys", lambda c: entry(c, 0)))
     counted = (
-        tested.select(F.col("s.class").alias("class"), both.alias("b"))
-        .filter(F.col("b.bucket") <= most)
+        tested.select(F.col("s.class").alias("class"), F.explode(F.filter(both, lambda b: b["bucket"] <= most)).alias("b"))
         .groupBy("class", F.col("b.bucket").alias("bucket"))
         .agg(F.sum("b.real").alias("real"), F.sum("b.decoy").alias("decoy"))
     )
@@ -224,7 +252,7 @@ def limits(df: DataFrame, text: str = "text", false_share: float = FALSE_SHARE)
     def fits(b: Column, x: Column) -> Column:
         upto = F.filter(b, lambda y: y["bucket"] <= x["bucket"])
         total = lambda field: F.aggregate(upto, F.lit(0).cast("long"), lambda a, y: a + y[field])
-        return total("decoy") + 1 <= false_share * total("real")
+        return total("decoy") + 1 <= false_share * each * total("real")
 
     good = let(F.col("b"), lambda b: F.transform(F.filter(b, lambda x: fits(b, x)), lambda x: x["bucket"]))
     return arrays.select("class", F.array_max(good).alias("bucket")).filter(F.col("bucket").isNotNull())
@@ -251,7 +279,7 @@ def scan(df: DataFrame, text: str = "text", false_share: float = FALSE_SHARE) ->
         chosen = F.filter(tested, lambda s: F.floor(s["deviation"] * BUCKETS) <= F.col("_limits")[s["class"]])
         return _of_kind(chosen, len(PATTERNS), "random")
 
-    extra = F.when(whole.rlike(STRETCH), added(_tested(whole, F.col("base")))).otherwise(F.array().cast(f"array<{_SPAN}>"))
+    extra = F.when(whole.rlike(STRETCH), added(_tested(whole, F.col("base"), 0))).otherwise(F.array().cast(f"array<{_SPAN}>"))
     with_limits = based.withColumn("_limits", limit)
     return with_limits.withColumn("spans", F.array_sort(F.concat("base", extra))).drop("_limits")
 
