@@ -60,6 +60,16 @@ def test_against_filling_slot_by_slot(spark, docs, monkeypatch):
     assert sorted(map(str, first_round.doc_id)) == sorted(str(i) for i, _ in rows)
 
 
+def test_more_sources_than_slots_in_a_short_period(spark):
+    rows = [(i, f"s{i % 1005}") for i in range(1500)]
+    frame = spark.createDataFrame(rows, "doc_id long, source string")
+    for slots in (None, {f"s{i}": 1 + i % 2 for i in range(1005)}):
+        mixed = M.mix(frame, slots=slots, block=1)
+        first = mixed.filter("mix_round = 0").select("doc_id", "source").collect()
+        assert sorted((r.doc_id, r.source) for r in first) == rows
+        assert mixed.select("mix_slot").distinct().count() == mixed.agg(F.max("mix_slot") + 1).first()[0]
+
+
 def test_odd_rows(spark, docs):
     frame = docs([(1, None), (None, "x"), (2, ""), (2, "")])
     assert M.mix(frame).filter("mix_round = 0").count() == 4

@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from typelore.session import cut_lineage
 
-#: Slots in a period, and at the same time the most sources a mix may have.
+#: Slots in a period, and how many there are at least per source.
 PERIOD = 1000
+PER_SOURCE = 10
 BLOCK = 100
 #: Documents numbered by one task at a time.
 STRETCH = 5_000
@@ -71,7 +72,7 @@ def _numbered(df: DataFrame, source: str, order: Column) -> DataFrame:
     dealt = df.withColumns({"_key": _key(source), "_order": order})
     sizes = dealt.groupBy("_key").agg(F.count(F.lit(1)).alias("_size"))
     sizes = sizes.select("_key", F.ceil(F.col("_size") / STRETCH).alias("_stretches"))
-    # one row per source, of which there are at most as many as slots in a period
+    # one row per source
     spot = F.pmod(F.col("_order"), F.lit(1 << 40)) / float(1 << 40)
     placed = dealt.join(F.broadcast(sizes), "_key").withColumn("_stretch", F.floor(spot * F.col("_stretches")))
     counted = placed.groupBy("_key", "_stretch").agg(F.count(F.lit(1)).alias("_in"))
@@ -93,7 +94,7 @@ def mix(
     """Adds ``mix_slot``, ``mix_block`` (within the source) and ``mix_round`` (0 at first, 1 when repeated, and so on).
 
     ``slots`` gives whole numbers per source; sources without one do not take part. Without ``slots`` all sources take
-    part, by ``smoothed`` counts. The mix is as long as it takes for every document of the scarcest share to come up
+    part, by ``smoothed`` counts in a period that grows with their number. The mix is as long as it takes for every document of the scarcest share to come up
     once; sources that run out before that start again, so nothing is dropped and the shares hold to the end. The last
     block of a source may hold fewer documents.
 
@@ -105,8 +106,8 @@ def mix(
     if clash:
         raise ValueError(f"columns already exist: {sorted(clash)}")
     keyed = df if slots is None else df.filter(_key(source).isin([_plain(name) for name in slots]))
-    counts = {r[0]: r[1] for r in keyed.groupBy(_key(source)).count().limit(PERIOD + 1).collect()}
-    share = smoothed(counts) if slots is None else {_plain(k): w for k, w in slots.items() if _plain(k) in counts}
+    counts = {r[0]: r[1] for r in keyed.groupBy(_key(source)).count().collect()}
+    share = smoothed(counts, period=max(PERIOD, PER_SOURCE * len(counts))) if slots is None else {_plain(k): w for k, w in slots.items() if _plain(k) in counts}
     places = schedule(share) if share else {}
     period = sum(share.values())
     blocks = {name: -(-counts[name] // block) for name in share}
