@@ -19,6 +19,7 @@ from typelore.llm import (
     substrings,
     toxicity,
     url_filter,
+    whitening,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -149,6 +150,10 @@ SELECT c.page_id, c.url, c.fetched, m.pattern IS NOT NULL AS blocked, m.pattern,
 FROM c LEFT JOIN m ON m.page_id = c.page_id AND m.best = 1
 """
 
+def whitened_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_near_duplicates": near_duplicates,
     "op2_nearest_vectors": nearest_vectors,
@@ -160,6 +165,7 @@ QUERIES: dict[str, Query] = {
     "op8_mixed_sources": mixed_sources,
     "op9_quality_scores": quality_scores,
     "op10_toxicity_scores": toxicity_scores,
+    "op11_whitened_embeddings": whitened_embeddings,
 }
 
 ORACLE: dict[str, str] = {
