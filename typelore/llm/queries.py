@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from typelore.llm import (
     bpe,
+    language_id,
     minhash,
     mixing,
     multi_index,
@@ -154,6 +155,10 @@ def whitened_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def language_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_near_duplicates": near_duplicates,
     "op2_nearest_vectors": nearest_vectors,
@@ -166,6 +171,7 @@ QUERIES: dict[str, Query] = {
     "op9_quality_scores": quality_scores,
     "op10_toxicity_scores": toxicity_scores,
     "op11_whitened_embeddings": whitened_embeddings,
+    "op13_language_ids": language_ids,
 }
 
 ORACLE: dict[str, str] = {
