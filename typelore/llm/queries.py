@@ -14,6 +14,7 @@ from typelore.llm import (
     minhash,
     mixing,
     multi_index,
+    prefix_trie,
     quality_classifier,
     quality_rules,
     secret_scan,
@@ -159,6 +160,59 @@ def language_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
+def conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+#: Nodes by their list of turns; crc32 of the decimal id bit by bit, since the dialect has no function for it.
+CONVERSATION_TRIE = """
+WITH RECURSIVE r AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p
+  FROM conversations WHERE conv_id IS NOT NULL
+), lens AS (
+  SELECT c, max(p) AS n FROM r GROUP BY c
+), crc(c, k, v) AS (
+  SELECT c, 0, CAST(4294967295 AS BIGINT) FROM lens
+  UNION ALL
+  SELECT c, k + 1,
+    CASE WHEN (CASE WHEN k % 8 = 0 THEN xor(v, ascii(substr(CAST(c AS VARCHAR), k // 8 + 1, 1))) ELSE v END) & 1 = 1
+      THEN xor((CASE WHEN k % 8 = 0 THEN xor(v, ascii(substr(CAST(c AS VARCHAR), k // 8 + 1, 1))) ELSE v END) >> 1, 3988292384)
+      ELSE (CASE WHEN k % 8 = 0 THEN xor(v, ascii(substr(CAST(c AS VARCHAR), k // 8 + 1, 1))) ELSE v END) >> 1 END
+  FROM crc WHERE k < 8 * length(CAST(c AS VARCHAR))
+), cv AS (
+  SELECT l.c, l.n, xor(crc.v, 4294967295) % 9 AS h, least(xor(crc.v, 4294967295) % 9, coalesce(b.n, 0)) AS hk
+  FROM lens l JOIN crc ON crc.c = l.c AND crc.k = 8 * length(CAST(l.c AS VARCHAR))
+  LEFT JOIN lens b ON b.c = l.c - l.c % 5
+), rt AS (
+  SELECT cv.c, r.p AS d, r.role, r.text FROM cv JOIN r ON r.c = cv.c - cv.c % 5 AND r.p <= cv.hk
+  UNION ALL
+  SELECT cv.c, cv.hk + r.p - cv.h AS d, r.role, r.text FROM cv JOIN r ON r.c = cv.c AND r.p > cv.h
+), sizes AS (
+  SELECT c, hk + greatest(0, n - h) AS len FROM cv
+), m AS (
+  SELECT c, 0 AS d, CAST([] AS STRUCT(role VARCHAR, text VARCHAR)[]) AS key, 0 AS bytes FROM sizes
+  UNION ALL
+  SELECT c, d, list({'role': role, 'text': text}) OVER (PARTITION BY c ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+    octet_length(encode(text)) FROM rt
+), mm AS (
+  SELECT m.*, lead(key) OVER (PARTITION BY c ORDER BY d) AS next_key, s.len FROM m JOIN sizes s USING (c)
+), nodes AS (
+  SELECT d, key, count(*) AS n_convs, min(c) AS conv_id, count(DISTINCT next_key) AS n_children, max(bytes) AS bytes,
+    sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE len = d), '')) AS ends_sha256
+  FROM mm GROUP BY d, key
+), sub AS (
+  SELECT x.d, x.key, sum((y.n_convs - 1) * y.bytes) AS saved_tokens, sum(CASE WHEN y.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves
+  FROM mm x JOIN nodes y ON y.conv_id = x.c AND y.d >= x.d
+  GROUP BY x.d, x.key
+)
+SELECT nodes.conv_id, nodes.d AS depth, parent.conv_id AS parent_conv_id, nodes.n_convs, nodes.n_children,
+  sub.n_leaves, sub.saved_tokens, nodes.ends_sha256
+FROM nodes JOIN sub ON sub.d = nodes.d AND sub.key = nodes.key
+LEFT JOIN nodes parent ON parent.d = nodes.d - 1 AND parent.key = list_slice(nodes.key, 1, nodes.d - 1)
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_near_duplicates": near_duplicates,
     "op2_nearest_vectors": nearest_vectors,
@@ -171,9 +225,11 @@ QUERIES: dict[str, Query] = {
     "op9_quality_scores": quality_scores,
     "op10_toxicity_scores": toxicity_scores,
     "op11_whitened_embeddings": whitened_embeddings,
+    "op12_conversation_trie": conversation_trie,
     "op13_language_ids": language_ids,
 }
 
 ORACLE: dict[str, str] = {
     "op7_checked_urls": CHECKED_URLS,
+    "op12_conversation_trie": CONVERSATION_TRIE,
 }
