@@ -27,6 +27,7 @@ HEADLINE = (
     "tidy_comment",
     "embed",
     "pairwise_inner",
+    "pairwise_top_k",
     "flatten_nested",
     "dichotomy_stats",
     "lemmatize",

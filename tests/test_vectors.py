@@ -89,3 +89,30 @@ def test_labels_by_key(spark):
     points = spark.createDataFrame([("c1", 0.1, 0.2), ("c2", 0.3, 0.4)], "id string, x_1 double, x_2 double")
     table = sorted(tuple(r) for r in V.plot_table(points, comments, users).collect())
     assert table == [("c1", 0.1, 0.2, "x", "INFP"), ("c2", 0.3, 0.4, "y", "NA")]
+
+
+def _brute_top(ids, data, k):
+    full = data @ data.T
+    out = []
+    for a in range(len(ids)):
+        order = sorted((b for b in range(len(ids)) if b != a), key=lambda b: (-full[a, b], ids[b]))[:k]
+        out += [(ids[a], r + 1, ids[b], full[a, b]) for r, b in enumerate(order)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("block_rows, partners, id_type", [(1000, 8, "long"), (7, 2, "long"), (5, 3, "string")])
+def test_top_inner_against_brute_force(spark, block_rows, partners, id_type):
+    ids, data, df = _vectors(spark, 45, id_type=id_type)
+    got = sorted(tuple(r) for r in V.top_inner(df, 4, block_rows=block_rows, partners=partners).collect())
+    want = _brute_top(ids, data, 4)
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert [g[3] for g in got] == pytest.approx([w[3] for w in want])
+
+
+def test_top_inner_cases(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 1.0]), (5, [2.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in V.top_inner(df, 2, block_rows=2, partners=1).collect())
+    # equal vectors tie and go to the smaller id; a copy of the row's own id is a partner; other lengths never meet
+    assert got == [(1, 1, 2, 1.0), (1, 2, 2, 1.0), (2, 1, 1, 1.0), (2, 1, 1, 1.0), (2, 2, 2, 1.0), (2, 2, 2, 1.0), (4, 1, 1, 0.0), (4, 2, 2, 0.0)]
+    assert V.top_inner(df.limit(0), 3).count() == 0 and V.top_inner(df.filter("vec_id = 5"), 3).count() == 0

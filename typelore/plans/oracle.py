@@ -7,7 +7,7 @@ from typelore.operators.ingest import REQUIRED
 from typelore.operators.merge import COMMENT_COLUMNS, FIRST_WINS
 from typelore.operators.groups import MEANS
 from typelore.plans import given
-from typelore.plans.registry import CORRELATED_TERMS, MATRIX_TERMS, MIN_INNER
+from typelore.plans.registry import CORRELATED_TERMS, MATRIX_TERMS, MIN_INNER, TOP_INNER
 from typelore.sources.crawl_plan import CRAWL_PLAN
 
 
@@ -514,6 +514,13 @@ ORACLE: dict[str, str] = {
         FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) a
         JOIN (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) b
           ON a.vec_id < b.vec_id AND list_inner_product(a.e, b.e) >= {MIN_INNER}""",
+    "pairwise_top_k": f"""SELECT i, rank::INT AS rank, j, round(value, 5) AS value FROM (
+        SELECT a.vec_id AS i, b.vec_id AS j, list_inner_product(a.e, b.e) AS value,
+          row_number() OVER (PARTITION BY a.r ORDER BY list_inner_product(a.e, b.e) DESC, b.vec_id, b.r) AS rank
+        FROM (SELECT vec_id, embedding::DOUBLE[] AS e, row_number() OVER () AS r FROM embeddings WHERE embedding IS NOT NULL) a
+        JOIN (SELECT vec_id, embedding::DOUBLE[] AS e, row_number() OVER () AS r FROM embeddings WHERE embedding IS NOT NULL) b
+          ON a.r <> b.r AND len(a.e) = len(b.e)
+      ) WHERE rank <= {TOP_INNER}""",
     "label_vectors": _with(
         "comments resolved",
         "SELECT c.id, u.mbti_type AS label, 64 AS dim FROM comments c JOIN resolved u ON c.user_id = u.id",

@@ -28,6 +28,8 @@ from typelore.streaming import merge as stream
 Query = Callable[[SparkSession, str], DataFrame]
 
 MIN_INNER = 0.25
+#: Partners per vector in the top-k form of the inner products.
+TOP_INNER = 10
 MATRIX_TERMS = ("thor", "tion", "thth", "sich")
 CORRELATED_TERMS = ("ther", "thon", "tion", "thre")
 
@@ -410,6 +412,12 @@ def pairwise_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.withColumn("value", F.round("value", 5))
 
 
+def pairwise_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The TOP_INNER vectors of largest inner product for every vector, over the whole table."""
+    ranked = V.top_inner(given.table(spark, sf_dir, "embeddings"), TOP_INNER)
+    return ranked.withColumn("value", F.round("value", 5))
+
+
 def label_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = V.label_vectors(
         _embedded(spark, sf_dir), _comments(spark, sf_dir), _written_typed_users(spark, sf_dir)
@@ -662,7 +670,7 @@ QUERIES: dict[str, Query] = {
         unbold, type_from_flair, lookup, count_by_type, match_counts, rows_with_k_matches, last_match,
         comments_with_user_type, types_per_user, ambiguous_users, unambiguous_type, rename_sources,
         project_user_types, project_comments, preview,
-        embed, pairwise_inner, label_vectors, project_2d, plot_table, tidy_comment,
+        embed, pairwise_inner, pairwise_top_k, label_vectors, project_2d, plot_table, tidy_comment,
         split_posts, posts_count, posts_without_urls, urls_count, punctuations_count, emojis_count,
         emojis_count_documented, count_means, dichotomies, type_counts, profile, person_features,
         group_stats, dichotomy_stats, summary, rank_groups, group_content,
