@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from typelore.functions.skew import salted_join
+from typelore.functions.skew import HOT_ROWS, salted_join
 from typelore.functions.top_n import first_n_per_group
 
 
@@ -51,9 +51,11 @@ def weigh_known(counts: DataFrame, groups: DataFrame) -> DataFrame:
     return counts.withColumn("n", n).select("group", "term", weight.alias("weight"))
 
 
-def weigh(counts: DataFrame, idf: DataFrame, salts: int = 1) -> DataFrame:
-    """``tf * idf``. ``salts`` spreads a term found in very many groups, which matters when the groups are persons."""
-    joined = salted_join(counts, idf.select("term", "idf"), ["term"], "inner", salts, ["group"])
+def weigh(counts: DataFrame, idf: DataFrame, salts: int = 1, hot_df: int = HOT_ROWS) -> DataFrame:
+    """``tf * idf``. ``salts`` spreads a term found in more than ``hot_df`` groups, which matters when the groups are
+    persons. Such terms are read off ``idf`` if it has ``df``, and counted if not."""
+    hot = idf.filter(F.col("df") > hot_df).select("term") if "df" in idf.columns else None
+    joined = salted_join(counts, idf.select("term", "idf"), ["term"], "inner", salts, ["group"], hot)
     return joined.select("group", "term", (F.col("tf") * F.col("idf")).alias("weight"))
 
 
