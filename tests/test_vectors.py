@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from typelore.operators import vectors as V
 
@@ -116,3 +117,22 @@ def test_top_inner_cases(spark):
     # equal vectors tie and go to the smaller id; a copy of the row's own id is a partner; other lengths never meet
     assert got == [(1, 1, 2, 1.0), (1, 2, 2, 1.0), (2, 1, 1, 1.0), (2, 1, 1, 1.0), (2, 2, 2, 1.0), (2, 2, 2, 1.0), (4, 1, 1, 0.0), (4, 2, 2, 0.0)]
     assert V.top_inner(df.limit(0), 3).count() == 0 and V.top_inner(df.filter("vec_id = 5"), 3).count() == 0
+
+
+def test_top_inner_sends_a_row_once_per_group(spark, monkeypatch):
+    """Blocks are sent per group of query blocks and per group of partners, in single precision if that is what they are."""
+    ids, data, df = _vectors(spark, 60)
+    single = df.withColumn("embedding", F.col("embedding").cast("array<float>"))
+    sent = []
+    grouped = type(df).groupBy
+
+    def watched(self, *keys):
+        if all(isinstance(c, str) for c in keys) and keys == ("q", "g"):
+            sent.append((self.selectExpr("sum(size(ids))").first()[0], self.schema["flat"].dataType.simpleString()))
+        return grouped(self, *keys)
+
+    monkeypatch.setattr(type(df), "groupBy", watched)
+    got = V.top_inner(single, 3, block_rows=5, partners=4, queries=3)
+    assert sent == [(60 * (3 + 4), "array<float>")]
+    want = _brute_top(ids, data.astype(np.float32).astype(float), 3)
+    assert [tuple(r)[:3] for r in sorted(map(tuple, got.collect()))] == [w[:3] for w in want]

@@ -9,7 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.ml.feature import PCA, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -176,8 +176,17 @@ def _matrix(block) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.asarray(block.flat, dtype=np.float64).reshape(len(ids), -1)
 
 
+def _best(values: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (row, column) of the values that reach their row's ``least`` and are among its ``k`` largest, all ties included."""
+    wanted = values >= least[:, None]
+    if values.shape[1] > k and np.count_nonzero(wanted) > 4 * k * len(values):
+        largest = np.partition(values, -k, axis=1)[:, -k]
+        wanted = values >= np.maximum(least, largest)[:, None]
+    return np.nonzero(wanted)
+
+
 def top_inner(
-    vectors: DataFrame, k: int, id_col: str = "vec_id", block_rows: int = 1000, partners: int = 8
+    vectors: DataFrame, k: int, id_col: str = "vec_id", block_rows: int = 1000, partners: int = 64, queries: int = 8
 ) -> DataFrame:
     """For every row, the ``k`` other rows with the largest inner product: ``i, rank, j, value`` (rank from 1).
 
@@ -185,25 +194,26 @@ def top_inner(
     id is one. Rows with a null vector take no part; vectors of another length than the query's are not compared.
 
     Rows are numbered once (the numbers are written, so a lost executor recomputes the same blocks) and dealt into
-    blocks of about ``block_rows``. A task takes one query block and ``partners`` partner blocks, visits the partners
-    best first by an upper bound on their products (centre and radius of each block) and keeps a heap of ``k`` per row
-    whose least value is that row's threshold: a partner block whose bound stays below every row's threshold is never
-    multiplied. Each task puts out at most ``k`` rows per query row; these partial heaps are merged per row by one
-    window over at most ``k`` times the number of partner groups. The work stays quadratic in the number of blocks,
-    since exact neighbours may lie anywhere; memory per task is bounded by ``partners + 1`` blocks.
+    blocks of about ``block_rows``. A task takes ``queries`` query blocks and ``partners`` partner blocks. For each query
+    block it visits the partners best first by an upper bound on their products (centre and radius of each block) and
+    holds the best ``k`` per row, whose least value is that row's threshold: only rows whose bound reaches it are
+    multiplied, and only products that reach it are ever sorted. Each task puts out at most ``k`` rows per query row;
+    one window per row merges them. The work stays quadratic in the number of rows, since exact neighbours may lie
+    anywhere. A row is sent once per group of query blocks and once per group of partners; memory per task is bounded
+    by ``queries + partners`` blocks and one product of two blocks.
     """
     spark = vectors.sparkSession
     id_type = vectors.schema[id_col].dataType
     schema = T.StructType(
         [T.StructField("i", id_type), T.StructField("rank", T.IntegerType()), T.StructField("j", id_type), T.StructField("value", T.DoubleType())]
     )
-    valid = vectors.select(F.col(id_col).alias("id"), F.col("embedding").cast("array<double>").alias("v")).filter("v IS NOT NULL")
+    valid = vectors.select(F.col(id_col).alias("id"), _narrow(vectors).alias("v")).filter("v IS NOT NULL")
     numbered = cut_lineage(valid.withColumn("row", F.monotonically_increasing_id()), "numbered")
     n = numbered.count()
     if n == 0 or k <= 0:
         return spark.createDataFrame([], schema)
     n_blocks = -(-n // block_rows)
-    groups = -(-n_blocks // partners)
+    groups, query_groups = -(-n_blocks // partners), -(-n_blocks // queries)
     block = F.pmod(F.xxhash64("row"), F.lit(n_blocks)).alias("block")
     packed = cut_lineage(
         numbered.groupBy(block, F.size("v").alias("dim")).agg(
@@ -211,52 +221,54 @@ def top_inner(
         ),
         "blocks",
     )
-    query = packed.select(F.col("block").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), F.lit(True).alias("asks"), "*")
+    query = packed.select((F.col("block") % query_groups).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), F.lit(True).alias("asks"), "*")
     partner = packed.select(
-        F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("q"), (F.col("block") % groups).alias("g"), F.lit(False).alias("asks"), "*"
+        F.explode(F.sequence(F.lit(0), F.lit(query_groups - 1))).alias("q"), (F.col("block") % groups).alias("g"), F.lit(False).alias("asks"), "*"
     )
     heap_schema = T.StructType(
         [T.StructField("qrow", T.LongType()), T.StructField("i", id_type), T.StructField("j", id_type),
          T.StructField("jrow", T.LongType()), T.StructField("value", T.DoubleType())]
     )
 
-    numeric = isinstance(id_type, (T.IntegralType, T.FractionalType))
-
     def best_first(group: pd.DataFrame) -> pd.DataFrame:
-        asks = group[group.asks]
+        sides = [(o.block, o.dim, np.asarray(o.ids), np.asarray(o.rows), _matrix(o)[1]) for o in group[~group.asks].itertuples(index=False)]
+        spheres = []
+        for *_, y in sides:
+            centre = y.mean(axis=0)
+            spheres.append((centre, np.linalg.norm(y - centre, axis=1).max(), np.linalg.norm(y, axis=1).max()))
         found = []
-        for q in asks.itertuples(index=False):
-            ids, rows, x = np.asarray(q.ids), np.asarray(q.rows), np.asarray(q.flat, dtype=np.float64).reshape(len(q.ids), -1)
-            others = [o for o in group[~group.asks].itertuples(index=False) if o.dim == q.dim]
-            mats = [(np.asarray(o.ids), np.asarray(o.rows), np.asarray(o.flat, dtype=np.float64).reshape(len(o.ids), -1)) for o in others]
+        for q in group[group.asks].itertuples(index=False):
+            ids, rows, x = np.asarray(q.ids), np.asarray(q.rows), _matrix(q)[1]
+            others = [m for m, o in enumerate(sides) if o[1] == q.dim]
             norms = np.linalg.norm(x, axis=1)
-            bounds = []
-            for _, _, y in mats:
-                centre = y.mean(axis=0)
-                radius = np.linalg.norm(y - centre, axis=1).max()
-                bounds.append(x @ centre + norms * radius)
-            best_v = np.full((len(ids), k), -np.inf)
-            best_j = np.zeros((len(ids), k), dtype=object)
-            best_r = np.full((len(ids), k), np.iinfo(np.int64).max)
-            for m in np.argsort([-b.max() for b in bounds], kind="stable"):
-                threshold = best_v[:, -1]
-                if np.all(bounds[m] * (1 + 1e-9) + 1e-9 < threshold):
+            bounds = {m: x @ spheres[m][0] + norms * spheres[m][1] for m in others}
+            least = np.full(len(ids), -np.inf)
+            none = np.zeros(0, np.int64)
+            at, value, j, j_row = none, np.zeros(0), ids[:0], rows[:0]
+            for m in sorted(others, key=lambda m: -bounds[m].max()):
+                # a little above the bound, for what rounding may take away
+                asking = np.flatnonzero(~(bounds[m] + np.abs(bounds[m]) * 1e-9 + 1e-9 < least))
+                if not len(asking):
                     continue
-                o_ids, o_rows, y = mats[m]
-                values = x @ y.T
-                values[rows[:, None] == o_rows[None, :]] = -np.inf
-                all_v = np.concatenate([best_v, values], axis=1)
-                all_j = np.concatenate([best_j, np.broadcast_to(o_ids, values.shape)], axis=1)
-                all_r = np.concatenate([best_r, np.broadcast_to(o_rows, values.shape)], axis=1)
-                if numeric:
-                    order = np.lexsort((all_r, all_j.astype(np.float64), -all_v), axis=1)[:, :k]
-                else:
-                    order = np.array([sorted(range(all_v.shape[1]), key=lambda c: (-all_v[r, c], (0, all_j[r, c], all_r[r, c]) if np.isfinite(all_v[r, c]) else (1,)))[:k] for r in range(len(ids))])
-                pick = np.arange(len(ids))[:, None]
-                best_v, best_j, best_r = all_v[pick, order], all_j[pick, order], all_r[pick, order]
-            keep = np.isfinite(best_v)
-            r_idx, c_idx = np.nonzero(keep)
-            found.append(pd.DataFrame({"qrow": rows[r_idx], "i": ids[r_idx], "j": best_j[r_idx, c_idx], "jrow": best_r[r_idx, c_idx], "value": best_v[r_idx, c_idx]}))
+                block, _, o_ids, o_rows, y = sides[m]
+                values = (x if len(asking) == len(x) else x[asking]) @ y.T
+                if not np.isfinite(norms.max() * spheres[m][2]):
+                    values[np.isnan(values)] = -np.inf
+                if block == q.block:
+                    values[rows[asking][:, None] == o_rows] = -np.inf
+                row, column = _best(values, least[asking], k)
+                if not len(row):
+                    continue
+                at, value = np.concatenate([at, asking[row]]), np.concatenate([value, values[row, column]])
+                j, j_row = np.concatenate([j, o_ids[column]]), np.concatenate([j_row, o_rows[column]])
+                order = np.lexsort((j_row, j, -value, at))
+                place = np.arange(len(order)) - np.searchsorted(at[order], at[order], "left")
+                order = order[place < k]
+                at, value, j, j_row = at[order], value[order], j[order], j_row[order]
+                full = np.flatnonzero(place[place < k] == k - 1)
+                least[at[full]] = value[full]
+            real = np.isfinite(value)
+            found.append(pd.DataFrame({"qrow": rows[at[real]], "i": ids[at[real]], "j": j[real], "jrow": j_row[real], "value": value[real]}))
         return pd.concat(found) if found else pd.DataFrame({c: [] for c in heap_schema.fieldNames()})
 
     heaps = query.unionByName(partner).groupBy("q", "g").applyInPandas(best_first, heap_schema)
@@ -266,6 +278,12 @@ def top_inner(
     return ranked.filter(F.col("rank") <= k).select("i", "rank", "j", "value")
 
 
+def _narrow(vectors: DataFrame) -> Column:
+    """The vectors as they are if single precision, else as doubles; half the bytes are sent, and nothing is rounded."""
+    single = vectors.schema["embedding"].dataType == T.ArrayType(T.FloatType())
+    return F.col("embedding") if single else F.col("embedding").cast("array<double>")
+
+
 def label_vectors(vectors: DataFrame, comments: DataFrame, users: DataFrame) -> DataFrame:
     """Vectors with the type of the comment's author; rows are matched by comment id, never by position.
 
