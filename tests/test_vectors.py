@@ -136,3 +136,14 @@ def test_top_inner_sends_a_row_once_per_group(spark, monkeypatch):
     assert sent == [(60 * (3 + 4), "array<float>")]
     want = _brute_top(ids, data.astype(np.float32).astype(float), 3)
     assert [tuple(r)[:3] for r in sorted(map(tuple, got.collect()))] == [w[:3] for w in want]
+
+
+def test_pairs_of_blocks_larger_than_a_strip(spark, monkeypatch):
+    monkeypatch.setattr(V, "STRIP", 4)
+    ids, data, df = _vectors(spark, 70)
+    single = df.withColumn("embedding", F.col("embedding").cast("array<float>"))
+    assert V._with_cell(single, "vec_id", data[:2]).schema["embedding"].dataType.simpleString() == "array<float>"
+    got = {(r.i, r.j): r.value for r in V.pairwise_inner(single, 0.1, block_rows=30).collect()}
+    exact = data.astype(np.float32).astype(float)
+    want = {(min(ids[a], ids[b]), max(ids[a], ids[b])): exact[a] @ exact[b] for a in range(70) for b in range(a) if exact[a] @ exact[b] >= 0.1}
+    assert got == pytest.approx(want)

@@ -15,6 +15,9 @@ from pyspark.sql import types as T
 
 from typelore.session import cut_lineage
 
+#: Rows of a block that are multiplied with another block at a time.
+STRIP = 500
+
 Encoder = Callable[[Sequence[str]], np.ndarray]
 
 
@@ -76,10 +79,11 @@ def embed(
 
 def _with_cell(vectors: DataFrame, id_col: str, pivots: np.ndarray) -> DataFrame:
     """Vectors with the nearest pivot and the distance to it."""
+    rows = vectors.select(F.col(id_col).alias("id"), _narrow(vectors).alias("embedding"))
     schema = T.StructType(
         [
             T.StructField("id", vectors.schema[id_col].dataType),
-            T.StructField("embedding", T.ArrayType(T.DoubleType())),
+            T.StructField("embedding", rows.schema["embedding"].dataType),
             T.StructField("cell", T.IntegerType()),
             T.StructField("distance", T.DoubleType()),
         ]
@@ -92,9 +96,9 @@ def _with_cell(vectors: DataFrame, id_col: str, pivots: np.ndarray) -> DataFrame
                 far = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (pivots * pivots).sum(1) - 2 * x @ pivots.T, 0))
                 cell = far.argmin(axis=1)
                 exact = np.linalg.norm(x - pivots[cell], axis=1)
-                yield pd.DataFrame({"id": batch["id"], "embedding": list(x), "cell": cell.astype("int32"), "distance": exact})
+                yield pd.DataFrame({"id": batch["id"], "embedding": batch["embedding"], "cell": cell.astype("int32"), "distance": exact})
 
-    return vectors.select(F.col(id_col).alias("id"), "embedding").mapInPandas(assign, schema)
+    return rows.mapInPandas(assign, schema)
 
 
 def meeting_cells(pivots: np.ndarray, radius: dict[int, float], min_value: float) -> list[tuple[int, int]]:
@@ -109,14 +113,15 @@ def meeting_cells(pivots: np.ndarray, radius: dict[int, float], min_value: float
 
 
 def pairwise_inner(
-    vectors: DataFrame, min_value: float, id_col: str = "vec_id", block_rows: int = 1000, n_pivots: int = 64
+    vectors: DataFrame, min_value: float, id_col: str = "vec_id", block_rows: int = 8000, n_pivots: int = 64
 ) -> DataFrame:
     """Inner products ``i, j, value`` of at least ``min_value`` with i < j, computed in double precision.
 
     Vectors are assigned to the nearest of ``n_pivots`` vectors, at most 1,000, drawn by hashed id. Two cells only meet if
     the bound on their products reaches the threshold, so clustered vectors are compared within and between few cells.
-    Cells are cut into blocks of about ``block_rows``, and a task multiplies two blocks at a time as matrices. Minus
-    infinity gives the whole matrix above its diagonal, whose size is quadratic; so is the work where vectors have no
+    Cells are cut into blocks of about ``block_rows``, each of which is sent once per block it may meet, so larger blocks
+    send less. A task multiplies two blocks at a time as matrices, ``STRIP`` rows of one with all of the other, and hands
+    on what it finds strip by strip; it holds two blocks and one strip of products. Minus infinity gives the whole matrix above its diagonal, whose size is quadratic; so is the work where vectors have no
     clusters or the threshold is low, since nothing can be left out then.
     """
     spark = vectors.sparkSession
@@ -151,22 +156,25 @@ def pairwise_inner(
         .select("low.*", F.col("high.c").alias("high_c"), F.col("high.b").alias("high_b"), "cell", "block", "ids", "flat")
     )
 
-    def multiply(pair: pd.DataFrame) -> pd.DataFrame:
+    def multiply(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pair = pd.concat(list(parts))
         both = [_matrix(row) for row in pair.sort_values(["cell", "block"]).itertuples(index=False)]
-        (ids_a, a), (ids_b, b) = both[0], both[-1]
-        values = a @ b.T
-        wanted = values >= min_value
-        if len(both) == 1:
-            wanted &= ids_a[:, None] < ids_b[None, :]
-        row, column = np.nonzero(wanted)
-        first, second = ids_a[row], ids_b[column]
-        return pd.DataFrame(
-            {
-                "i": np.where(first < second, first, second),
-                "j": np.where(first < second, second, first),
-                "value": values[row, column],
-            }
-        )
+        (all_a, whole), (ids_b, b) = both[0], both[-1]
+        for start in range(0, len(all_a), STRIP):
+            ids_a, a = all_a[start : start + STRIP], whole[start : start + STRIP]
+            values = a @ b.T
+            wanted = values >= min_value
+            if len(both) == 1:
+                wanted &= ids_a[:, None] < ids_b[None, :]
+            row, column = np.nonzero(wanted)
+            first, second = ids_a[row], ids_b[column]
+            yield pd.DataFrame(
+                {
+                    "i": np.where(first < second, first, second),
+                    "j": np.where(first < second, second, first),
+                    "value": values[row, column],
+                }
+            )
 
     return sent.groupBy("c", "b", "high_c", "high_b").applyInPandas(multiply, schema)
 
