@@ -67,6 +67,13 @@ def lemmatize(tokens: DataFrame, lemmas: DataFrame) -> DataFrame:
     return joined.select(*columns, F.coalesce("lemma", "token").alias("token")).select(*tokens.columns)
 
 
+def changing(lemmas: DataFrame) -> DataFrame:
+    """The rows of a lemma table that replace something. A table of ``noun_lemmas`` lists every known word, most of
+    them as their own lemma; with one row per form, as there, ``lemmatize`` does the same with these rows alone. Written,
+    they are as a rule small enough to be broadcast, and token rows are not shuffled."""
+    return lemmas.filter(F.col("form") != F.col("lemma"))
+
+
 def _with_ending_replaced(forms: Column, ending: str, new: str) -> Column:
     ended = F.filter(forms, lambda w: w.endswith(ending))
     return F.transform(ended, lambda w: F.concat(F.substring(w, F.lit(1), F.length(w) - len(ending)), F.lit(new)))

@@ -92,23 +92,31 @@ def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.token_table(given.people(spark, sf_dir))
 
 
-def _lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _lemmas(tokens: DataFrame) -> DataFrame:
     """Nouns as far as the texts know them: every word of three letters and more stands in the lexicon. Written."""
-    words = cut_lineage(W.vocabulary(_tokens(spark, sf_dir)), "vocabulary")
+    words = cut_lineage(W.vocabulary(tokens), "vocabulary")
     lemmas = G.noun_lemmas(words, words.filter(F.length("token") > 2).withColumnRenamed("token", "word"))
     return cut_lineage(lemmas, "lemmas")
 
 
+def _changes(tokens: DataFrame) -> DataFrame:
+    """The lemmas that differ from their form. Written, so that Spark knows how few they are when it plans the joins."""
+    return cut_lineage(G.changing(_lemmas(tokens)), "changes")
+
+
 def _lemma_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.lemmatize(_tokens(spark, sf_dir), _lemmas(spark, sf_dir))
+    tokens = _tokens(spark, sf_dir)
+    return G.lemmatize(tokens, _changes(tokens))
 
 
 def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.word_occurrences(_tokens(spark, sf_dir), _lemmas(spark, sf_dir))
+    tokens = _tokens(spark, sf_dir)
+    return W.word_occurrences(tokens, _changes(tokens))
 
 
 def _term_counts(spark: SparkSession, sf_dir: str, grains: tuple[str, ...] = ("type", "letter")) -> DataFrame:
-    return W.term_counts(_tokens(spark, sf_dir), grains, _lemmas(spark, sf_dir))
+    tokens = _tokens(spark, sf_dir)
+    return W.term_counts(tokens, grains, _changes(tokens))
 
 
 def _groups(spark: SparkSession, sf_dir: str, grains: tuple[str, ...] = ("type", "letter")) -> DataFrame:
@@ -215,7 +223,8 @@ def write_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stats_and_tokens(grain: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        features, tokens, lemmas = (f(spark, sf_dir) for f in (_features, _tokens, _lemmas))
+        features, tokens = _features(spark, sf_dir), _tokens(spark, sf_dir)
+        lemmas = _changes(tokens)
         if grain == "person":
             joined = W.person_stats_and_tokens(features, tokens, lemmas)
         else:
@@ -564,7 +573,7 @@ def remove_stopwords(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def noun_lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lemmas(spark, sf_dir)
+    return _lemmas(_tokens(spark, sf_dir))
 
 
 def lemmatize(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -572,7 +581,7 @@ def lemmatize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shown = G.clean_preview(given.people(spark, sf_dir), "INFP", lemmas=_lemmas(spark, sf_dir))
+    shown = G.clean_preview(given.people(spark, sf_dir), "INFP", lemmas=_lemmas(_tokens(spark, sf_dir)))
     return shown.withColumn("tokens", F.array_join("tokens", " "))
 
 
@@ -601,9 +610,10 @@ def rarity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def remove_rare_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens, lemmas = _tokens(spark, sf_dir), _lemmas(spark, sf_dir)
+    tokens = _tokens(spark, sf_dir)
+    lemmas = _changes(tokens)
     rare = cut_lineage(W.rare_words(W.word_occurrences(tokens, lemmas)), "rare-words")
-    return W.remove_rare_words(G.lemmatize(tokens, lemmas), rare).drop("type")
+    return W.remove_rare_words(cut_lineage(G.lemmatize(tokens, lemmas).drop("type"), "lemma-tokens"), rare)
 
 
 # ---- weights ----------------------------------------------------------------------------------------------------------
