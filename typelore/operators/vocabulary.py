@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from typelore.functions import patterns as P
@@ -62,11 +62,27 @@ def rarity_summary(counts: DataFrame, min_occurrences: int = 2) -> DataFrame:
 def remove_rare_words(tokens: DataFrame, rare: DataFrame) -> DataFrame:
     """Tokens that are not rare.
 
-    ``rare`` grows with the vocabulary and is not broadcast beyond Spark's limit. Hand it in as a written table: both
-    sides of the join then come straight from their shuffles, and adaptive execution splits the partition that a
-    frequent word fills. Aggregated on the spot it would come without a shuffle of its own, and nothing could be split.
+    ``rare`` grows with the vocabulary and is not broadcast beyond Spark's limit. Its words are first marked in a bit
+    field of ``MARKS`` bits by hash, whose size has a bound and which is broadcast. A token whose bit is not set is no
+    rare word and stays where it is; the few others are looked up in ``rare`` itself. Hand both in as written tables:
+    ``tokens`` is read twice, and both sides of the join then come straight from their shuffles, so that adaptive
+    execution splits the partition that a frequent word fills.
     """
-    return tokens.join(rare.select("token"), "token", "left_anti").select(*tokens.columns)
+    marks = rare.select(*_mark(F.col("token"))).groupBy("_word").agg(F.expr("bit_or(shiftleft(1L, _bit))").alias("_bits"))
+    marked = tokens.select("*", *_mark(F.col("token"))).join(F.broadcast(marks), "_word", "left")
+    is_marked = F.coalesce(F.getbit("_bits", F.col("_bit")) == 1, F.lit(False))
+    unmarked = marked.filter(~is_marked).select(*tokens.columns)
+    looked_up = marked.filter(is_marked).select(*tokens.columns).join(rare.select("token"), "token", "left_anti")
+    return unmarked.unionAll(looked_up.select(*tokens.columns))
+
+
+#: Bits in which words are marked, 64 to a row of the field: half a million rows at most.
+MARKS = 2**25
+
+
+def _mark(token: Column) -> tuple[Column, Column]:
+    place = F.pmod(F.xxhash64(token), F.lit(MARKS))
+    return F.floor(place / 64).alias("_word"), (place % 64).cast("int").alias("_bit")
 
 
 def term_counts(
