@@ -100,3 +100,26 @@ def test_odd_rows(spark, docs):
         key=repr,
     )
     assert M.near_duplicates(docs(rows).limit(0)).count() == 0
+
+
+def test_a_large_near_group_is_not_dealt_to_all_its_blocks(spark, docs, monkeypatch):
+    monkeypatch.setattr(M, "BLOCK", 20)
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(240):
+        copy = list(words)
+        for _ in range(rng.randint(1, 5)):
+            copy[rng.randrange(len(copy))] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    dealt, plain = [], M._block_pairs
+
+    def counted(given, keys, columns):
+        out = plain(given, keys, columns)
+        if keys == ["key"]:
+            dealt.append((given.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(M, "_block_pairs", counted)
+    _check(docs(rows), rows)
+    assert len(dealt) == 2 and sum(m for _, m in dealt) < 3000  # some 20,000 rows where every block met every other

@@ -173,25 +173,22 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, how: Similarity) -> DataFrame
 def _near(members: DataFrame, labels: DataFrame, reps: DataFrame, how: Similarity) -> DataFrame:
     """(a, b): edges that connect what pairs within reach connect, where such pairs have no common label yet.
 
-    Buckets are cut into blocks of some hundred members. A task compares two blocks at a time as matrices of signatures
-    and puts out one row per member of a group found, never the pairs.
+    Buckets are cut into blocks of some hundred members, those with the bucket's most frequent label apart from the rest,
+    as they need not meet each other. A task compares two blocks at a time as matrices of signatures and puts out one row
+    per member of a group found, never the pairs.
     """
     labelled = (
         members.join(labels, F.col("id") == F.col("node"), "left")
         .select("key", "hub", "id", F.coalesce("label", "id").alias("label"))
     )
-    spread = (
-        labelled.groupBy("key")
-        .agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size"))
-        .filter("low < high AND size > 2")
-        .select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    )
-    open_ = labelled.join(cut_lineage(spread, "spread"), "key").join(reps.select("id", "n", "sig"), "id")
+    open_ = labelled.join(_cuts(labelled, "key", 3, BLOCK), "key").join(reps.select("id", "n", "sig"), "id")
     dealt = _block_pairs(open_, ["key"], ["hub", "id", "label", "n", "sig"])
 
     def groups(group: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ids, label, n, hub = (group.column(c).to_numpy() for c in ("id", "label", "n", "hub"))
         left, right = _sides(group)
+        if not len(left) or not len(right):
+            return
         sig = _matrix(group.column("sig"), how.slots)
         apart = np.zeros((len(left), len(right)), np.uint8)
         for slot in range(how.slots):
@@ -221,22 +218,20 @@ def _near(members: DataFrame, labels: DataFrame, reps: DataFrame, how: Similarit
 def _links_within(clusters: DataFrame, labels: DataFrame, texts: DataFrame, how: Similarity) -> DataFrame:
     """Links (a, b) between different components within each cluster, from the full sets, as many as it takes to join them.
 
-    Clusters are cut into blocks; a task intersects all sets of two blocks by counting, and only puts out a link where it
-    joins two components that no other link of these blocks has joined.
+    Clusters are cut into blocks, as buckets are; a task intersects all sets of two blocks by counting, and only puts out
+    a link where it joins two components that no other link of these blocks has joined.
     """
     known = labels.select(F.col("node").alias("id"), "label")
     own = clusters.select(F.col("node").alias("id"), F.col("label").alias("cluster")).join(known, "id", "left")
     own = cut_lineage(own.withColumn("label", F.coalesce("label", "id")), "clusters")
-    sizes = own.groupBy("cluster").agg(
-        F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size")
-    )
-    open_ = sizes.filter("low < high").select("cluster", F.ceil(F.col("size") / SETS).cast("int").alias("blocks"))
-    rows = own.join(cut_lineage(open_, "blocks"), "cluster").join(texts, "id")
+    rows = own.join(_cuts(own, "cluster", 2, SETS), "cluster").join(texts, "id")
     dealt = _block_pairs(rows, ["cluster"], ["id", "label", "t"])
 
     def links(group: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ids, label = (group.column(c).to_numpy() for c in ("id", "label"))
         left, right = _sides(group)
+        if not len(left) or not len(right):
+            return
         sets = shingle_sets(group.column("t").to_pylist(), how.k)
         n = np.array([len(x) for x in sets])
         flat = np.concatenate([sets[y] for y in right])
@@ -272,11 +267,40 @@ def _links_within(clusters: DataFrame, labels: DataFrame, texts: DataFrame, how:
     return dealt.mapInArrow(_by_group(links, ("cluster", "i", "j")), "a long, b long")
 
 
+def _cuts(labelled: DataFrame, key: str, least: int, block: int) -> DataFrame:
+    """(key, common, rest, others) of the groups with several labels and ``least`` members, written.
+
+    A group beyond one block has ``others`` blocks for the members with its most frequent label, ``common``, and
+    ``rest`` blocks for all others. A smaller group is one block.
+    """
+    sizes = labelled.groupBy(key).agg(
+        F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size")
+    )
+    sizes = cut_lineage(sizes.filter((F.col("low") < F.col("high")) & (F.col("size") >= least)).select(key, "size"), "sizes")
+    large = labelled.join(sizes.filter(F.col("size") > block).select(key), key)
+    counted = large.groupBy(key, "label").agg(F.count(F.lit(1)).alias("n"))
+    common = counted.groupBy(key).agg(F.max(F.struct("n", "label")).alias("top")).select(
+        key, F.col("top.label").alias("common"), F.col("top.n").alias("top")
+    )
+    cut = sizes.join(common, key, "left").withColumn("top", F.coalesce("top", F.lit(0)))
+    rest, others = ((n / block) for n in (F.col("size") - F.col("top"), F.col("top")))
+    return cut_lineage(
+        cut.select(key, "common", F.ceil(rest).cast("int").alias("rest"), F.ceil(others).cast("int").alias("others")), "cuts"
+    )
+
+
 def _block_pairs(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """Each row once for every block of its group, dealt and sorted by the pair (i, j) of blocks; ``own`` is its block."""
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    both = rows.withColumn("own", own).withColumn("other", other).select(
+    """Each row once for every block it has to meet, dealt and sorted by the pair (i, j) of blocks; ``own`` is its block.
+
+    The blocks of the rest come first and meet all blocks of their group; those of the common label meet only the rest.
+    So where one label holds most of a large group, nearly all of its rows come up once or a few times.
+    """
+    is_common = F.coalesce(F.col("label") == F.col("common"), F.lit(False))
+    place = F.xxhash64("id")
+    own = F.when(is_common, F.col("rest") + F.pmod(place, F.greatest("others", F.lit(1)))).otherwise(F.pmod(place, "rest"))
+    meets = F.when(is_common, F.col("rest")).otherwise(F.col("rest") + F.col("others"))
+    other = F.explode(F.sequence(F.lit(0), meets - 1))
+    both = rows.withColumn("own", own.cast("int")).withColumn("other", other).select(
         *keys, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", *columns
     )
     return both.repartition(*keys, "i", "j").sortWithinPartitions(*keys, "i", "j", "id")
@@ -328,7 +352,8 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", h
     Rows with equal sets become one representative first, so copies cost one row each. In each bucket of the index all
     members are compared with its smallest one. Members that are in no common component after that but within reach of each
     other form clusters, whose full sets are compared block by block. So no link between different texts is lost, and no
-    group is expanded into rows of pairs.
+    group is expanded into rows of pairs. Members that share the most frequent label of a large group are not dealt to
+    each other's blocks.
 
     A null or empty text has no shingles, is its own component and is kept. A row without id has no component and is
     kept. Rows that repeat an id keep their own set; they belong together if their sets do. ``text_hash`` is ``xxhash64`` of
@@ -356,9 +381,13 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", h
     texts = cut_lineage(found.select("id", "t"), "texts")
     links = cut_lineage(_confirmed(first, texts, how), "links")
     labels = components(links)
+    # what is within reach of the smallest member of a large bucket is near already, so that one label holds most of it
+    large = members.join(buckets.filter(F.col("size") > BLOCK).select("key"), "key").filter("id <> hub")
+    hubs = large.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    near = cut_lineage(links.union(first.join(hubs, ["a", "b"])), "near")
     # a quarter of the buckets joins most of what is near, so that little is left to compare in the others
     some = F.pmod("key", F.lit(4)) == 0
-    near = links.union(cut_lineage(_near(members.filter(some), labels, reps, how), "near"))
+    near = near.union(cut_lineage(_near(members.filter(some), components(near), reps, how), "near"))
     near = near.union(cut_lineage(_near(members.filter(~some), components(near), reps, how), "near"))
     more = cut_lineage(_links_within(components(near), labels, texts, how), "links")
     if not more.isEmpty():
