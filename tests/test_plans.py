@@ -13,7 +13,7 @@ from typelore.operators import people as E
 from typelore.operators import vocabulary as W
 from typelore import session
 from typelore.operators import groups as S
-from typelore.plans import type_resolution
+from typelore.plans import registry, type_resolution
 from typelore.plans.registry import QUERIES
 from typelore.sources import tables
 from tests.test_people import _people
@@ -143,3 +143,21 @@ def test_scratch_is_removed_and_needs_a_shared_folder(spark, tmp_path):
 
     with pytest.raises(RuntimeError, match=r"spark\.checkpoint\.dir"):
         session.shared_dir(Cluster)
+
+
+@pytest.mark.parametrize(
+    "name", ["df_idf", "term_group_correlation", "top_terms", "stats_and_tokens_per_person", "word_occurrences"]
+)
+def test_texts_are_cleaned_once_for_lemmas_and_counts(spark, tmp_path, monkeypatch, name):
+    docs = [(1, "cats and dogs\nthe dog"), (2, "a cat sees mice"), (2, "dogs dogs"), (3, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    written = []
+
+    def recorded(df, label):
+        written.append(_plan(df))
+        return session.cut_lineage(df, label)
+
+    monkeypatch.setattr(registry, "cut_lineage", recorded)
+    result = QUERIES[name](spark, str(tmp_path))
+    assert result.count() > 0
+    assert sum("regexp_extract_all" in plan for plan in [*written, _plan(result)]) == 1

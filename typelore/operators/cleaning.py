@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -74,6 +76,12 @@ def changing(lemmas: DataFrame) -> DataFrame:
     return lemmas.filter(F.col("form") != F.col("lemma"))
 
 
+def with_noun_ending(forms: DataFrame) -> DataFrame:
+    """The words (column ``token``) that ``noun_lemmas`` may change: without exceptions, a word that has none of the noun
+    endings can only become itself."""
+    return forms.filter(reduce(or_, (F.col("token").endswith(end) for end, _ in P.NOUN_ENDINGS)))
+
+
 def _with_ending_replaced(forms: Column, ending: str, new: str) -> Column:
     ended = F.filter(forms, lambda w: w.endswith(ending))
     return F.transform(ended, lambda w: F.concat(F.substring(w, F.lit(1), F.length(w) - len(ending)), F.lit(new)))

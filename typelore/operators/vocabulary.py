@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from typelore.functions import patterns as P
 from typelore.operators.cleaning import lemmatize
 from typelore.operators.groups import type_letter
+from typelore.session import cut_lineage
 
 
 def vocabulary(tokens: DataFrame) -> DataFrame:
@@ -15,19 +16,42 @@ def vocabulary(tokens: DataFrame) -> DataFrame:
 
 
 def word_occurrences(tokens: DataFrame, lemmas: DataFrame | None = None) -> DataFrame:
-    """Occurrences per word, or per lemma, over the token rows given.
+    """Occurrences per word, or per lemma, over the token rows given, or over words counted by ``count_words``.
 
     A word that makes up a large part of all text is counted within each map task first. Lemmas are looked up for the
     counted words, one row each, and what falls together is added up.
     """
-    counted = tokens.groupBy("token").agg(F.count("*").alias("occurrences"))
+    counted = count_words(tokens)
     return counted if lemmas is None else _by_lemma(counted, lemmas, [])
 
 
+def count_words(tokens: DataFrame, *keys: str) -> DataFrame:
+    """``keys, token, occurrences``, one row per word and values of ``keys``, null ones included; what is already counted
+    by them is handed back.
+
+    Written, it stands in for the token rows wherever only counts are wanted: the words for the lemmas and the counts
+    themselves are then read off it, and the texts are cleaned once.
+    """
+    if "occurrences" in tokens.columns:
+        return tokens.select(*keys, "token", "occurrences")
+    return tokens.groupBy(*keys, "token").agg(F.count("*").alias("occurrences"))
+
+
 def _by_lemma(counted: DataFrame, lemmas: DataFrame, keys: list[str]) -> DataFrame:
     return lemmatize(counted, lemmas).groupBy(*keys, "token").agg(F.sum("occurrences").alias("occurrences"))
 
 
+def _by_lemma_apart(counted: DataFrame, lemmas: DataFrame, keys: list[str]) -> DataFrame:
+    """The same for written counts: only words that are replaced, or that others are replaced by, are added up again.
+
+    All other words keep their counts and are not shuffled, if the lemmas are small enough to be broadcast.
+    """
+    forms, bases = lemmas.select(F.col("form").alias("token")), lemmas.select(F.col("lemma").alias("token"))
+    touched = cut_lineage(forms.union(bases).filter(F.col("token").isNotNull()).distinct(), "touched")
+    same = counted.join(touched, "token", "left_anti").select(*keys, "token", "occurrences")
+    return same.unionAll(_by_lemma(counted.join(touched, "token", "left_semi"), lemmas, keys).select(*same.columns))
+
+
 def occurrence_histogram(counts: DataFrame, bins: int = 10) -> DataFrame:
     """Words per interval of their number of occurrences: equal widths, the last interval closed, none left out.
 
@@ -93,16 +117,18 @@ def term_counts(
     The words are counted per type first. What is left of a word, one row per type, is then gathered in one array with
     its totals per letter: at most 81 types and 8 letters. The array's size is the number of groups, so later steps do
     not have to find and join it. For ``("person",)`` the groups are not bounded, and the number is left out. With
-    ``lemmas`` the counted words are replaced and added up once more.
+    ``lemmas`` the counted words are replaced and added up once more. In place of the token rows, words counted by
+    ``count_words`` per type, or person, will do.
     """
+    replace = _by_lemma_apart if "occurrences" in tokens.columns else _by_lemma
     if grains == ("person",):
-        counted = tokens.groupBy(F.col("person_id").alias("group"), "token").agg(F.count("*").alias("occurrences"))
-        return counted if lemmas is None else _by_lemma(counted, lemmas, ["group"])
-    per_type = (
-        tokens.filter(F.col("type").isNotNull()).groupBy("type", "token").agg(F.count("*").alias("occurrences"))
-    )
+        counted = count_words(tokens, "person_id").withColumnRenamed("person_id", "group")
+        if lemmas is None:
+            return counted
+        return replace(counted, lemmas, ["group"])
+    per_type = count_words(tokens.filter(F.col("type").isNotNull()), "type")
     if lemmas is not None:
-        per_type = _by_lemma(per_type, lemmas, ["type"])
+        per_type = replace(per_type, lemmas, ["type"])
     gathered, parts = [], []
     if "type" in grains:
         gathered.append(F.collect_list(F.struct(F.col("type").alias("group"), "occurrences")).alias("types"))

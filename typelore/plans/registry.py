@@ -92,16 +92,27 @@ def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.token_table(given.people(spark, sf_dir))
 
 
-def _lemmas(tokens: DataFrame) -> DataFrame:
-    """Nouns as far as the texts know them: every word of three letters and more stands in the lexicon. Written."""
+def _counted(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
+    """Counted words in place of the token rows: written, so that the texts are cleaned once for lemmas and counts."""
+    return cut_lineage(W.count_words(_tokens(spark, sf_dir), *keys), "counted")
+
+
+def _lexicon(tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nouns as far as the texts know them: every word, and those of three letters and more, which stand in the lexicon."""
     words = cut_lineage(W.vocabulary(tokens), "vocabulary")
-    lemmas = G.noun_lemmas(words, words.filter(F.length("token") > 2).withColumnRenamed("token", "word"))
-    return cut_lineage(lemmas, "lemmas")
+    return words, words.filter(F.length("token") > 2).withColumnRenamed("token", "word")
+
+
+def _lemmas(tokens: DataFrame) -> DataFrame:
+    """Lemmas of all words. Written."""
+    return cut_lineage(G.noun_lemmas(*_lexicon(tokens)), "lemmas")
 
 
 def _changes(tokens: DataFrame) -> DataFrame:
-    """The lemmas that differ from their form. Written, so that Spark knows how few they are when it plans the joins."""
-    return cut_lineage(G.changing(_lemmas(tokens)), "changes")
+    """The lemmas that differ from their form, of tokens or of counted words. Written, so that Spark knows how few they
+    are when it plans the joins."""
+    words, lexicon = _lexicon(tokens)
+    return cut_lineage(G.changing(G.noun_lemmas(G.with_noun_ending(words), lexicon)), "changes")
 
 
 def _lemma_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,13 +121,13 @@ def _lemma_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = _tokens(spark, sf_dir)
-    return W.word_occurrences(tokens, _changes(tokens))
+    counted = _counted(spark, sf_dir)
+    return W.word_occurrences(counted, _changes(counted))
 
 
 def _term_counts(spark: SparkSession, sf_dir: str, grains: tuple[str, ...] = ("type", "letter")) -> DataFrame:
-    tokens = _tokens(spark, sf_dir)
-    return W.term_counts(tokens, grains, _changes(tokens))
+    counted = _counted(spark, sf_dir, "person_id" if grains == ("person",) else "type")
+    return W.term_counts(counted, grains, _changes(counted))
 
 
 def _groups(spark: SparkSession, sf_dir: str, grains: tuple[str, ...] = ("type", "letter")) -> DataFrame:
@@ -223,13 +234,13 @@ def write_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stats_and_tokens(grain: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        features, tokens = _features(spark, sf_dir), _tokens(spark, sf_dir)
-        lemmas = _changes(tokens)
+        features, counted = _features(spark, sf_dir), _counted(spark, sf_dir, "person_id" if grain == "person" else "type")
+        lemmas = _changes(counted)
         if grain == "person":
-            joined = W.person_stats_and_tokens(features, tokens, lemmas)
+            joined = W.person_stats_and_tokens(features, counted, lemmas)
         else:
             stats = S.group_stats(features) if grain == "type" else S.dichotomy_stats(features)
-            joined = W.stats_and_tokens(cut_lineage(stats, "stats"), W.term_counts(tokens, (grain,), lemmas))
+            joined = W.stats_and_tokens(cut_lineage(stats, "stats"), W.term_counts(counted, (grain,), lemmas))
         path = scratch_path(spark, f"stats-and-tokens-{grain}")
         sinks.write_stats_and_tokens(joined, path)
         return spark.read.parquet(path).withColumns({m: _r6(m) for m in S.MEANS})
