@@ -158,7 +158,10 @@ def stats_and_tokens(stats: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def person_stats_and_tokens(features: DataFrame, tokens: DataFrame, lemmas: DataFrame | None = None) -> DataFrame:
-    """Counts and means of each person beside the occurrences of their words, one row per word."""
+    """Counts and means of each person beside the occurrences of their words, one row per word.
+
+    The people, a short row each, are hashed per partition, so that the many more words need not be sorted for the join.
+    """
     counts = term_counts(tokens, ("person",), lemmas).withColumnRenamed("group", "person_id")
     kept = ["person_id", "type", "posts_count", *(c for c in features.columns if c.startswith("mean_"))]
-    return counts.join(features.select(*kept), "person_id").select(*kept, "token", "occurrences")
+    return counts.join(features.select(*kept).hint("shuffle_hash"), "person_id").select(*kept, "token", "occurrences")
